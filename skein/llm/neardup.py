@@ -13,11 +13,12 @@ from . import textkernel as tk
 from .common import Scratch, text_slices
 from .components import components
 
-HASHES, BANDS, ROWS, BITS = 128, 32, 4, 4
+#: Minima whose low bits are kept; bands and the minima of each (the first BANDS * ROWS); low bits kept of one.
+HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: Word shingles, and the similarity in hundredths at which documents are linked.
 SHINGLE, PERCENT = 5, 75
-#: Standard errors that an estimate may fall short by before a candidate is let go (about 3e-9 each).
-SLACK = 5.8
+#: Standard errors that an estimate may fall short by before a candidate is let go (3.4e-6, as the bands' miss).
+SLACK = 4.5
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -53,7 +54,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         work += _B[k]
                         least[:, k] = np.minimum.reduceat(work, at)
                 least = tk.mix(least)
-                bands = tk.mix((least.reshape(len(full), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                bands = tk.mix((least[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 sig = pack_low_bits(least)
 
                 def lists(rows: np.ndarray, full=full, size=hi - lo) -> pa.Array:
@@ -125,6 +126,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * PERCENT).select("a", "b")
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(doc_id, c): how many members of each set are in another set too: no intersection can be larger."""
+    counts = sets.select("doc_id", F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id"))
+    own = counts.where("k = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    return sets.select("doc_id", F.size("members").alias("size")).hint("merge").join(own, "doc_id", "left").select("doc_id", (F.col("size") - F.coalesce("own", F.lit(0))).alias("c"))
+
+
 def near_dup_groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked id), kept (doc_id = component_id).
 
@@ -133,7 +141,8 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
        bucket's smallest id, not against all others: first by bit counts, then by full sets.
     3. Components of the links give labels. A bucket whose classes have one label needs no more. In
        the others every pair of classes with different labels is a candidate, so that no link
-       between components is missed; those that bit counts leave are again confirmed on full sets.
+       between components is missed. What a set shares with any other set of these buckets bounds
+       its intersections; pairs that this bound and the bit counts leave are confirmed on full sets.
     4. Components over all confirmed links.
 
     With 32 bands of 4 minima a pair at the threshold shares no band with probability 5e-6 (less above).
@@ -165,15 +174,21 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
     label = F.coalesce("component", "doc_id").alias("label")
     tagged = scratch.save(members.select("band", "doc_id").hint("merge").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", label), "tagged")
     mixed = tagged.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
-    open_rows = tagged.hint("merge").join(mixed, "band", "left_semi")
-    open_rows = scratch.save(open_rows.hint("merge").join(sigs.select("doc_id", "sig", F.col("n_shingles").alias("n")), "doc_id"), "open")
-    side = lambda x: open_rows.select("band", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    x, y = side("a"), side("b")
-    rest = x.hint("merge").join(y, (x.band == y.band) & (F.col("la") < F.col("lb")) & _sizes("na", "nb") & (estimate("sa", "sb") >= _floor())).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.save(rest.distinct().hint("merge").join(star, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("members", "tagged", "open")
-    extra = scratch.save(named(rest).hint("merge").join(needed, "doc_id", "left_anti"), "extra")
+    open_rows = scratch.save(tagged.hint("merge").join(mixed, "band", "left_semi"), "open")
+    open_ids = scratch.save(open_rows.select("doc_id").distinct(), "open-ids")
+    extra = scratch.save(open_ids.hint("merge").join(needed, "doc_id", "left_anti"), "extra")
     more = scratch.save(shingle_sets(texts.join(extra, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "more")
+    open_sets = sets.hint("merge").join(open_ids, "doc_id", "left_semi").unionByName(more)
+    sharing = scratch.save(_shared_sizes(open_sets).hint("merge").join(sigs.select("doc_id", "sig", "bands", F.col("n_shingles").alias("n")), "doc_id"), "sharing")
+    # a class can only have links if enough of its set is shared at all
+    open_rows = scratch.save(open_rows.hint("merge").join(sharing.where(F.col("c") * 100 >= F.col("n") * PERCENT), "doc_id"), "able")
+    side = lambda x: open_rows.select("band", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("bands").alias(f"b{x}"))
+    x, y = side("a"), side("b")
+    once = F.element_at(F.array_intersect("ba", "bb"), 1) == x.band  # a pair is met in the first band that it shares
+    enough = F.least("ca", "cb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+    rest = x.hint("merge").join(y, (x.band == y.band) & (F.col("la") < F.col("lb")) & enough & (estimate("sa", "sb") >= _floor()) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.save(rest.hint("merge").join(star, ["a", "b"], "left_anti"), "rest")
+    scratch.drop("members", "tagged", "open", "able")
     late = scratch.save(_confirmed(rest, sets.unionByName(more)), "late")
     scratch.drop("sets", "more")
     groups = components(late.unionByName(first.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "all")
