@@ -19,7 +19,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts, and texts of white space alone, all have the digest of the empty string.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256)).alias("digest"),
         F.length(text).alias("n_cp"),
@@ -74,7 +74,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Texts are equal when they are identical without ASCII white space; null counts as empty. Of equal
     texts in one batch the one with the most code points stays, ties to the smallest id. With an index
     from earlier batches, a digest that it has drops the whole group, and keep_id is the indexed id.
-    Only doc_id and text are read, so extra columns cannot clash. An empty table gives no rows.
+    Rows that repeat a doc_id are one document: each gets that document's result. Rows without a doc_id are
+    left out. Only doc_id and text are read, so extra columns cannot clash. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -95,3 +96,9 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp
        first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) = doc_id AS kept, text_sha256
 FROM n
 """
+
+
+def keep_first_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) without the documents that an equal one replaces."""
+    gone = Scratch(docs.sparkSession, "exact-kept").save(exact_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs.doc_id == gone.doc_id, "left_anti")

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,13 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Gram scores per language, scripts that languages use, and what makes a language a mixed document's own.
+
+    ``frame``: weights of a language's share of the bytes, of opening and of closing the document.
+    """
+
     def __init__(self, langs: list[str], table: np.ndarray, uses: np.ndarray):
-        self.langs, self.table, self.uses = langs, table, uses
+        self.langs, self.table, self.uses, self.frame = langs, table, uses, np.array([1.0, 0.0, 0.0])
 
     @staticmethod
     def fit(texts: pa.Table) -> Model:
@@ -107,13 +113,45 @@ class Model:
         logp = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * SIZE)
         letters[:, 0] = 0
         uses = letters >= 0.01 * np.maximum(letters.sum(1, keepdims=True), 1)
-        return Model(langs, np.ascontiguousarray((logp - logp.mean(1, keepdims=True)).astype(np.float32)), uses)
+        m = Model(langs, np.ascontiguousarray((logp - logp.mean(1, keepdims=True)).astype(np.float32)), uses)
+        better = []
+        for batch in texts.combine_chunks().to_batches():
+            own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for lo, hi, buf, offs in text_slices(batch):
+                shown, _ = m.document_views(*m.label(buf, offs, PENALTY)[:4])
+                mine = shown[np.arange(hi - lo), own[lo:hi]]
+                mixed = (shown[:, :, 0] > 0).sum(1) > 1
+                for k in range(len(langs)):
+                    better.append((mine - shown[:, k])[mixed & (own[lo:hi] != k) & (shown[:, k, 0] > 0)])
+        better = np.concatenate(better) if better else np.zeros((0, 3))
+        if len(better):
+            m.frame = np.maximum(learn.logistic(better, np.ones(len(better)), ridge=0.5), 0)
+            m.frame /= m.frame.sum() or 1.0
+        return m
+
+    def document_views(self, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, languages, 3): share of the labelled bytes, opens, closes; and the labelled bytes of each row."""
+        size, k = len(first) - 1, len(self.langs)
+        row = np.repeat(np.arange(size), np.diff(first))
+        ok = np.flatnonzero(best >= 0)
+        cover = np.bincount(row[ok] * k + best[ok], (ends - starts)[ok], size * k).reshape(size, k)
+        total = cover.sum(1)
+        out = np.zeros((size, k, 3))
+        out[:, :, 0] = cover / np.maximum(total, 1)[:, None]
+        rows, at = np.unique(row[ok], return_index=True)
+        out[rows, best[ok[at]], 1] = 1
+        last = np.append(at[1:], len(ok)) - 1
+        out[rows, best[ok[last]], 2] = 1
+        return out, total
 
     def label(self, buf: np.ndarray, offs: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, first word of each row, language of each word or -1 without a letter, letters of each row)."""
+        """(starts, ends, first word of each row, language of each word or -1 without a letter, foreign letters).
+
+        The last: each row's share of letters whose script no learnt language uses.
+        """
         starts, ends, first = tk.word_spans(buf, offs)
         if not len(starts):
-            return starts, ends, first, np.zeros(0, np.int64), np.zeros(len(offs) - 1, np.int64)
+            return starts, ends, first, np.zeros(0, np.int64), np.zeros(len(offs) - 1)
         gram, _ = _grams(buf, offs)
         sums = np.zeros((len(buf) + 1, len(self.langs)))
         for k in range(len(self.langs)):
@@ -131,7 +169,11 @@ class Model:
                 scores[np.ix_(np.unique(word[word >= 0]), np.flatnonzero(~self.uses[:, s]))] -= 50.0
         best = viterbi(scores, first, penalty)
         best[is_letter[ends] == is_letter[starts]] = -1
-        return starts, ends, first, best, is_letter[offs[1:]] - is_letter[offs[:-1]]
+        foreign = np.zeros(len(buf) + 1, np.int64)
+        foreign[at + 1] = ~(self.uses.any(0)[kind] | (kind == 0))
+        foreign = np.cumsum(foreign)
+        all_, odd = (c[offs[1:]] - c[offs[:-1]] for c in (is_letter, foreign))
+        return starts, ends, first, best, odd / np.maximum(all_, 1)
 
 
 def learn_model(docs: DataFrame, rows: int = LEARN_ROWS) -> Model:
@@ -143,8 +185,9 @@ def learn_model(docs: DataFrame, rows: int = LEARN_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
     """Per document: doc_id, lang_pred, score, n_langs, and with ``spans`` (start, end, lang) by byte.
 
-    lang_pred is the language whose spans cover most word bytes (ties: first by name), score its share
-    of the bytes of words with a letter. Null, empty and letterless texts are ``und`` with score 0.
+    lang_pred is chosen among the languages of the spans by share of the bytes, opening and closing the
+    document, as weighed on the learnt rows (ties: first by name); score is its share of the bytes of
+    words with a letter. Null, empty and letterless texts are ``und`` with score 0.
     Only doc_id and text are read. An empty table gives no rows; a model without rows says ``und``.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -155,14 +198,13 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offs in text_slices(batch):
-                starts, ends, first, best, letters = m.label(buf, offs, penalty)
+                starts, ends, first, best, _ = m.label(buf, offs, penalty)
                 size = hi - lo
-                row = np.repeat(np.arange(size), np.diff(first))
-                ok = best >= 0
-                cover = np.bincount(row[ok] * len(m.langs) + best[ok], (ends - starts)[ok], size * len(m.langs)).reshape(size, -1)
-                total = cover.sum(1)
-                top = np.where(total > 0, cover.argmax(1), len(m.langs))
-                cols = [ids.slice(lo, size), pa.array(names[top], pa.string()), pa.array(np.where(total > 0, cover.max(1) / np.maximum(total, 1), 0.0)), pa.array((cover > 0).sum(1).astype(np.int32))]
+                shown, total = m.document_views(starts, ends, first, best)
+                strength = np.where(shown[:, :, 0] > 0, shown @ m.frame, -1)
+                top = np.where(total > 0, strength.argmax(1), len(m.langs))
+                score = np.where(total > 0, shown[np.arange(size), np.minimum(top, len(m.langs) - 1), 0], 0.0)
+                cols = [ids.slice(lo, size), pa.array(names[top], pa.string()), pa.array(score), pa.array((shown[:, :, 0] > 0).sum(1).astype(np.int32))]
                 if spans:
                     r, a, b = runs(best + 1, first)
                     out = [[] for _ in range(size)]
@@ -179,3 +221,28 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """Learn on the documents that are not held out, then predict all: doc_id, held_out, lang_pred, score, n_langs."""
     out = identify(docs, learn_model(docs))
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_langs")
+
+
+def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
+    """``docs`` (all columns) without those rejected; a null lang is filled in with the prediction.
+
+    Rejected: null, empty and letterless texts, and texts most of whose letters are of scripts that no learnt
+    language uses. One pass over the rows, without a shuffle.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        for batch in batches:
+            at = batch.schema.get_field_index("lang")
+            for lo, hi, buf, offs in text_slices(batch):
+                starts, ends, first, best, foreign = m.label(buf, offs, penalty)
+                shown, total = m.document_views(starts, ends, first, best)
+                top = np.where(shown[:, :, 0] > 0, shown @ m.frame, -1).argmax(1)
+                part = batch.slice(lo, hi - lo)
+                lang = part.column(at).fill_null("")
+                guess = pa.array(np.array(m.langs, object)[top], lang.type)
+                part = part.set_column(at, batch.schema.field(at), pc.if_else(pc.equal(lang, ""), pc.if_else(part.column(at).is_null(), guess, lang), lang))
+                yield part.filter(pa.array((total > 0) & (foreign <= 0.5)))
+
+    return docs.mapInArrow(kernel, docs.schema)

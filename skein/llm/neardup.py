@@ -148,10 +148,12 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
     With 32 bands of 4 minima a pair at the threshold shares no band with probability 5e-6 (less above).
     Sets hold 64-bit shingle hashes; a false equality has probability below 1e-12 a pair. Null and
     empty texts have n_shingles 0 and are linked with nothing. Rows that repeat a doc_id with the same
-    text get the same result each. Other columns are not read. An empty table gives no rows.
+    text get the same result each; rows without a doc_id are left out. Other columns are not read. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
+    docs = docs.where("doc_id IS NOT NULL")
     all_sigs = scratch.save(signatures(docs), "sigs")
     names = all_sigs.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     names = scratch.save(names, "names")
@@ -196,3 +198,9 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
     rows = all_sigs.select("doc_id", "n_shingles", "set_a", "set_b").hint("merge").join(groups, ["n_shingles", "set_a", "set_b"], "left")
     root = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
+
+
+def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) without the documents that are linked to one of smaller id."""
+    gone = Scratch(docs.sparkSession, "neardup-kept").save(near_dup_groups(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs.doc_id == gone.doc_id, "left_anti")

@@ -24,7 +24,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -103,10 +103,10 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.alphabet = {c for p in self.ids for c in p}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        other = rf"(?:[^\w{SPACE}]|_)"
-        fine = rf"{SPACE}*{other}*[^\W_]+|{SPACE}*{other}+|{SPACE}+"
-        # where no piece goes on after a letter or digit with another character, a unit ends there too
-        mixed = re.compile(rf"[^\W_](?:[\W_])")
+        mark = r"\x00-/:-@\[-`{-\x7f"
+        fine = f"{SPACE}*[{mark}]*[^{mark}{SPACE}]+|{SPACE}*[{mark}]+|{SPACE}+"
+        # where no piece goes on with an ASCII mark after another character, a unit ends there too
+        mixed = re.compile(f"[^{mark}{SPACE}][{mark}]")
         self.pattern = f"{SPACE}*[^{SPACE}]+|{SPACE}+" if any(map(mixed.search, self.ids)) else fine
 
     def __getstate__(self) -> dict:
@@ -368,7 +368,8 @@ class UnitTable:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.count, self.hash, self.fallback, self.same, self.ids = [], [], [], [], []
+        self.count, self.hash, self.fallback, self.same, self.flat = [], [], [], [], []
+        self._flat = np.zeros(0, np.int32)
         self._arrays = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
 
     def add(self, unit: str) -> int:
@@ -381,7 +382,7 @@ class UnitTable:
             pieces = v.trace(v.reach(unit, 0, "", len(unit)), len(unit))
         ids = v.to_ids(pieces)
         if self.keep_ids:
-            self.ids.append(ids)
+            self.flat += ids
         base = self.base if len(ids) <= len(self.base) else [pow(_HASH_BASE, k, 1 << 64) for k in range(len(ids))]
         fallback = sum(i in self.byte for i in ids)
         if fallback:
@@ -402,6 +403,15 @@ class UnitTable:
             self._arrays = tuple(np.concatenate([old, np.array(x[n:], kind)]) for old, (x, kind) in zip(self._arrays, new, strict=True))
         return self._arrays
 
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of a sequence of unit numbers."""
+        if len(self._flat) != len(self.flat):
+            self._flat = np.concatenate([self._flat, np.array(self.flat[len(self._flat) :], np.int32)])
+        n = self.arrays()[0]
+        begin = np.cumsum(n) - n
+        k = n[at]
+        return self._flat[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+
     def encode(self, texts: list[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
         """Per text: (tokens, byte tokens, hash, whether decoding gives the text back, unit numbers)."""
         if len(self.number) > MEMORY:
@@ -437,16 +447,16 @@ def _short(held, ids: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = UnitTable(held.value, ids)
         for batch in batches:
-            rows, lists = [], []
+            rows, lists = [], [np.zeros(0, np.int32)]
             for lo in range(0, len(batch), 256):
-                for n, b, h, same, at in t.encode([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]):
-                    rows.append((n, b, _signed(h), same))
-                    if ids:
-                        lists.append([i for k in at.tolist() for i in t.ids[k]])
+                got = list(t.encode([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]))
+                rows += [(n, b, _signed(h), same) for n, b, h, same, _ in got]
+                if ids and got:
+                    lists.append(t.ids_of(np.concatenate([at for *_, at in got])))
             n, b, h, same = zip(*rows, strict=True) if rows else ((), (), (), ())
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(h, pa.int64()), pa.array(same, pa.bool_())]
             if ids:
-                cols.append(pa.array(lists, pa.list_(pa.int32())))
+                cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(lists))))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_byte_tokens", "ids_hash", "round_trip", "ids"][: len(cols)])
 
     return kernel
@@ -559,7 +569,3 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str
 
     return tokens.select("doc_id", F.col(ids_col).alias("ids")).mapInPandas(kernel, "doc_id long, text string")
 
-
-def encode_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Counts, hashes and round-trip flags of all documents, without the ids themselves."""
-    return encode(docs, ids=False)

@@ -16,19 +16,27 @@ from .sequence import forward_backward, marginals, runs
 
 #: Labelled rows of each class that the field is learnt from at most, whole texts each.
 LEARN_ROWS = 1500
-SIZE = 1 << 18
-#: A word labels tokens of toxic rows when its odds ratio over rows is at least this, in this many toxic rows.
-SEED_ODDS, SEED_ROWS = 8.0, 3
+SIZE = 1 << 20
+#: A view labels tokens of toxic rows when its odds ratio over rows is at least this, in this many
+#: toxic rows and this share of them.
+SEED_ODDS, SEED_ROWS, SEED_SHARE = 20.0, 3, 0.025
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 
 
+#: What a token shows of itself: the whole word, its first 3, 4 and 5 bytes, its last 4.
+VIEWS = 5
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, start, end, first token of each row): runs of letters, digits and non-ASCII bytes, lower-cased."""
+    """(buckets, start, end, first token of each row): runs of letters, digits and non-ASCII bytes, lower-cased.
+
+    Buckets are (views, tokens): word, beginnings and ending, hashed apart from each other.
+    """
     if not len(buf):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(len(offs), np.int64)
+        return np.zeros((VIEWS, 0), np.int64), z, z, np.zeros(len(offs), np.int64)
     inside = _TOKEN[buf]
     before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -36,25 +44,31 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     before[inner] = False
     after[inner[inner > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    out = np.empty((VIEWS, len(starts)), np.int64)
     with np.errstate(over="ignore"):
-        h = tk.span_hash(tk.prefix_hash(buf, lower=True), starts, ends)
-    return (h >> np.uint64(64 - 18)).astype(np.int64), starts, ends, np.searchsorted(starts, offs)
+        prefix = tk.prefix_hash(buf, lower=True)
+        cuts = [(starts, ends), *[(starts, np.minimum(starts + k, ends)) for k in (3, 4, 5)], (np.maximum(ends - 4, starts), ends)]
+        for i, (a, b) in enumerate(cuts):
+            out[i] = tk.mix(tk.span_hash(prefix, a, b) + np.uint64(i)) >> np.uint64(64 - 20)
+    return out, starts, ends, np.searchsorted(starts, offs)
 
 
 class Field:
-    """Weights: each token's own word, the words beside it, a bias and 2 x 2 transitions; states clean, toxic."""
+    """Weights: each token's views, the words beside it, a bias and 2 x 2 transitions; states clean, toxic."""
 
     def __init__(self) -> None:
         self.word, self.left, self.right = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
         self.bias, self.trans, self.head = 0.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0, 0.0])
 
-    def odds(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        out = self.word[word].astype(np.float64) + self.bias
-        if len(word) > 1:
+    def odds(self, seen: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = self.word[seen[0]].astype(np.float64) + self.bias
+        for view in seen[1:]:
+            out += self.word[view]
+        if len(out) > 1:
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             same = row[1:] == row[:-1]
-            out[1:] += np.where(same, self.left[word[:-1]], 0)
-            out[:-1] += np.where(same, self.right[word[1:]], 0)
+            out[1:] += np.where(same, self.left[seen[0, :-1]], 0)
+            out[:-1] += np.where(same, self.right[seen[0, 1:]], 0)
         return out
 
     @staticmethod
@@ -70,27 +84,28 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.summary(p, first) @ self.head, -30, 30)))
 
     @staticmethod
-    def fit(texts: pa.Table, rounds: int = 25, rate: float = 0.5, ridge: float = 1e-4) -> Field:
+    def fit(texts: pa.Table, rounds: int = 25, rate: float = 0.5, ridge: float = 5e-4) -> Field:
         """Conditional maximum likelihood by AdaGrad on the token labels that row labels and seed words give."""
         f, parts = Field(), []
         for batch in texts.combine_chunks().to_batches():
             y = np.array(batch.column("toxic").to_pylist(), np.int64)
             for lo, hi, buf, offs in text_slices(batch, limit=1 << 26):
-                word, _, _, first = tokens(buf, offs)
-                parts.append((word, first, y[lo:hi]))
-        if not parts or not sum(len(w) for w, _, _ in parts):
+                seen, _, _, first = tokens(buf, offs)
+                parts.append((seen, first, y[lo:hi]))
+        if not parts or not sum(w.shape[1] for w, _, _ in parts):
             return f
-        word = np.concatenate([w for w, _, _ in parts])
+        seen = np.concatenate([w for w, _, _ in parts], axis=1)
+        word = seen[0]
         sizes = np.concatenate([np.diff(x) for _, x, _ in parts])
         first, y = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([v for _, _, v in parts])
         row = np.repeat(np.arange(len(sizes)), sizes)
-        seen = np.unique(row * SIZE + word)
-        has, of = seen % SIZE, y[seen // SIZE]
+        met = np.unique((row * SIZE + seen).ravel())
+        has, of = met % SIZE, y[met // SIZE]
         bad, good = np.bincount(has[of == 1], minlength=SIZE), np.bincount(has[of == 0], minlength=SIZE)
         nb, ng = max(1, (y == 1).sum()), max(1, (y == 0).sum())
         ratio = ((bad + 0.5) / (nb - bad + 0.5)) / ((good + 0.5) / (ng - good + 0.5))
-        seed = (ratio >= SEED_ODDS) & (bad >= max(SEED_ROWS, 0.01 * nb))
-        want = (seed[word] & (y[row] == 1)).astype(np.float64)
+        seed = (ratio >= SEED_ODDS) & (bad >= max(SEED_ROWS, SEED_SHARE * nb))
+        want = (seed[seen].any(0) & (y[row] == 1)).astype(np.float64)
         if not want.any():
             return f
         same = row[1:] == row[:-1]
@@ -99,7 +114,7 @@ class Field:
         g2 = {k: np.full(np.shape(getattr(f, k)), 1e-6) for k in ("word", "left", "right", "bias", "trans")}
         f.bias = -4.0
         for _ in range(rounds):
-            odds = f.odds(word, first)
+            odds = f.odds(seen, first)
             p, ahead, behind = forward_backward(odds, first, f.trans)
             d = want - p
             # expected transitions from the two messages and the potentials
@@ -108,13 +123,13 @@ class Field:
             logits -= logits.max(0)
             q = np.exp(logits)
             joint = (q / q.sum(0)).sum(1).reshape(2, 2)
-            grads = {"word": np.bincount(word, d, SIZE), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": pairs - joint}
+            grads = {"word": np.bincount(seen.ravel(), np.tile(d, VIEWS), SIZE), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": pairs - joint}
             for k, g in grads.items():
                 g = g - ridge * np.asarray(getattr(f, k)) * len(y)
                 g2[k] = g2[k] + g * g
                 step = rate * g / np.sqrt(g2[k])
                 setattr(f, k, (getattr(f, k) + step).astype(np.float32) if np.ndim(step) == 1 else getattr(f, k) + step)
-        p = marginals(f.odds(word, first), first, f.trans)
+        p = marginals(f.odds(seen, first), first, f.trans)
         f.head = learn.logistic(Field.summary(p, first), y.astype(float), ridge=0.1)
         return f
 
@@ -149,8 +164,8 @@ def tag(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offs in text_slices(batch, limit=2 << 20):
-                word, starts, ends, first = tokens(buf, offs)
-                p = marginals(f.odds(word, first), first, f.trans)
+                seen, starts, ends, first = tokens(buf, offs)
+                p = marginals(f.odds(seen, first), first, f.trans)
                 size = hi - lo
                 hit = p >= 0.5
                 row = np.repeat(np.arange(size), np.diff(first))
