@@ -104,10 +104,10 @@ class Vocabulary:
         self.alphabet = {c for p in self.ids for c in p}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         mark = r"\x00-/:-@\[-`{-\x7f"
-        fine = f"{SPACE}*[{mark}]*[^{mark}{SPACE}]+|{SPACE}*[{mark}]+|{SPACE}+"
-        # where no piece goes on with an ASCII mark after another character, a unit ends there too
-        mixed = re.compile(f"[^{mark}{SPACE}][{mark}]")
-        self.pattern = f"{SPACE}*[^{SPACE}]+|{SPACE}+" if any(map(mixed.search, self.ids)) else fine
+        # a unit ends where an ASCII mark follows a character after which no piece goes on with one
+        odd = "".join(sorted({re.escape(c) for p in self.ids for c in re.findall(f"([^{mark}{SPACE}])[{mark}]", p)}))
+        body = f"(?:[^{mark}{SPACE}{odd}]+|[{odd}][{mark}]*)+" if odd else f"[^{mark}{SPACE}]+"
+        self.pattern = f"{SPACE}*[{mark}]*{body}|{SPACE}*[{mark}]+|{SPACE}+"
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"units": {}, "fits": {}}
