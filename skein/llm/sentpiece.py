@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -34,7 +34,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of one chunk; longer texts are cut.
 CHUNK = 32_768
 #: Units, and neighbour tests, that a worker remembers before it starts anew.
-MEMORY, TESTS = 1 << 19, 1 << 18
+MEMORY, TESTS = 1 << 20, 1 << 19
 SPACE = "▁"
 _HASH_BASE = 0x9E3779B97F4A7C15 | 1
 NO_PATH = -math.inf
@@ -164,6 +164,34 @@ class Vocabulary:
                     last[p] = (piece, q)
         return last
 
+    def solve(self, text: str) -> list[str]:
+        """Pieces of a text without a break inside: ``reach`` and ``trace`` from its start to its end."""
+        n, longest = len(text), self.longest
+        fits, ids, prefixes = self.fits, self.ids, self.prefixes
+        last: list[str | None] = [None] * (n + 1)
+        prev = ""
+        for q in range(n):
+            if q:
+                prev = last[q]
+                if prev is None:
+                    continue
+            top = q + longest
+            for p in range(q + 1, (top if top < n else n) + 1):
+                piece = text[q:p]
+                if piece not in prefixes:
+                    if p > q + 1:
+                        break
+                elif last[p] is not None or (piece not in ids and p > q + 1):
+                    continue
+                ok = fits.get((prev, piece)) if q else fits.get((piece, ""))
+                if ok or (ok is None and (self.fit(prev, piece) if q else self.whole(piece))):
+                    last[p] = piece
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(out[-1])
+        return out[::-1]
+
     @staticmethod
     def trace(last: dict[int, tuple[str, int]], end: int) -> list[str]:
         out = []
@@ -178,7 +206,7 @@ class Vocabulary:
         if got is None:
             if len(self.units) > MEMORY // 8:
                 self.units.clear()
-            got = self.units[text] = tuple(self.trace(self.reach(text, 0, "", len(text)), len(text)))
+            got = self.units[text] = tuple(self.solve(text))
         return got
 
     def breaks(self, text: str) -> list[int]:
@@ -236,17 +264,27 @@ class Chunk:
     def __init__(self, v: Vocabulary, text: str, lo: int, hi: int):
         self.v, self.text, self.lo, self.hi = v, text, lo, hi
         self.entry, self.exit = v.states(text, lo), v.states(text, hi)
-        span = text[max(0, lo - 1) : hi + 1]
-        off = max(0, lo - 1)
-        inner = [b + off for b in v.breaks(span) if lo <= b + off <= hi]
-        if lo == 0:
-            inner = [0, *inner]
-        if hi == len(text):
-            inner = [*inner, hi]
-        self.inner = sorted(set(inner))
+        # the first and the last break of the chunk, looked for in growing windows from its ends
+        self.inner = sorted({b for b in (self._edge(True), self._edge(False)) if b is not None})
+
+    def _edge(self, first: bool) -> int | None:
+        """The chunk's first or last break: the text's own start and end count as breaks."""
+        lo, hi = self.lo, self.hi
+        if (first and lo == 0) or (not first and hi == len(self.text)):
+            return lo if first else hi
+        width = 64
+        while True:
+            a, b = (lo, min(hi, lo + width)) if first else (max(lo, hi - width), hi)
+            off = max(0, a - 1)
+            found = [x + off for x in self.v.breaks(self.text[off : b + 1]) if a <= x + off <= b]
+            found += [0] * (a == 0) + [b] * (b == len(self.text))
+            if found or (a, b) == (lo, hi):
+                return (min(found) if first else max(found)) if found else None
+            width *= 4
 
     def middle(self) -> list[str]:
-        return [p for a, b in itertools.pairwise(self.inner) for p in self.v.unit(self.text[a:b])]
+        """Pieces between the first and the last break."""
+        return self.v.encode_pieces(self.text[self.inner[0] : self.inner[-1]])
 
     def _last(self, state: tuple[int, int]) -> tuple[int, str]:
         return state[1], self.text[state[0] : state[1]]
@@ -266,9 +304,15 @@ class Chunk:
 
     def path(self, i: int, j: int) -> list[str] | None:
         """Pieces from entry state i to exit state j, or None."""
+        found = self.parts(i, j)
+        return None if found is None else [*found[0], *self.middle(), *found[1]] if self.inner else found[0]
+
+    def parts(self, i: int, j: int) -> tuple[list[str], list[str]] | None:
+        """Pieces before the first break and after the last one."""
         start, before = self._last(self.entry[i])
         if not self.inner:
-            return self._to_exit(self.v.reach(self.text, start, before, self.hi), self.exit[j])
+            all_ = self._to_exit(self.v.reach(self.text, start, before, self.hi), self.exit[j])
+            return None if all_ is None else (all_, [])
         head: list[str] = []
         if self.inner[0] > self.lo:
             last = self.v.reach(self.text, start, before, self.inner[0])
@@ -277,12 +321,15 @@ class Chunk:
             head = self.v.trace(last, self.inner[0])
         end = self.inner[-1]
         if end == self.hi:
-            return [*head, *self.middle()]
+            return head, []
         tail = self._to_exit(self.v.reach(self.text, end, "", self.hi), self.exit[j])
-        return None if tail is None else [*head, *self.middle(), *tail]
+        return None if tail is None else (head, tail)
 
     def matrix(self) -> np.ndarray:
-        """Best weight from each entry state to each exit state. A break inside makes it an outer sum of head and tail."""
+        """Best weight from each entry state to each exit state. A break inside makes it an outer sum of head and tail.
+
+        What lies between the first and the last break is the same for all pairs of states; its weight is left out.
+        """
         out = np.full((len(self.entry), len(self.exit)), NO_PATH)
         total = lambda pieces: sum(map(self.v.weight, pieces))
         if not self.inner:
@@ -305,7 +352,7 @@ class Chunk:
             for j, t in enumerate(self.exit):
                 p = self._to_exit(last, t)
                 tail[j] = NO_PATH if p is None else total(p)
-        return head[:, None] + total(self.middle()) + tail[None, :]
+        return head[:, None] + tail[None, :]
 
 
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -375,11 +422,11 @@ class UnitTable:
     def add(self, unit: str) -> int:
         """Encode a new unit, and decode it again to see that its text comes back."""
         v = self.v
-        at = [b for b in v.breaks(unit) if 0 < b < len(unit)]
-        if at:
-            pieces = [p for a, b in itertools.pairwise([0, *at, len(unit)]) for p in v.unit(unit[a:b])]
+        if v.alphabet.issuperset(unit):
+            pieces = v.solve(unit)
         else:
-            pieces = v.trace(v.reach(unit, 0, "", len(unit)), len(unit))
+            at = [b for b in v.breaks(unit) if 0 < b < len(unit)]
+            pieces = [p for a, b in itertools.pairwise([0, *at, len(unit)]) for p in v.solve(unit[a:b])]
         ids = v.to_ids(pieces)
         if self.keep_ids:
             self.flat += ids
@@ -414,11 +461,15 @@ class UnitTable:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
         """Per text: (tokens, byte tokens, hash, whether decoding gives the text back, unit numbers)."""
+        for text, (n, b, h, same, at) in zip(texts, self.encode_escaped(map(escape, texts)), strict=True):
+            yield n, b, h, same and SPACE not in text, at
+
+    def encode_escaped(self, texts: Iterable[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
         if len(self.number) > MEMORY:
             self.clear()
         numbers = []
         for text in texts:
-            units = self.split.findall(escape(text))
+            units = self.split.findall(text)
             at = list(map(self.number.get, units))
             if None in at:
                 for i, k in enumerate(at):
@@ -427,13 +478,13 @@ class UnitTable:
                         at[i] = self.add(units[i]) if k is None else k
             numbers.append(np.array(at, np.int64))
         count, hashes, fallback, same = self.arrays()
-        for text, at in zip(texts, numbers, strict=True):
+        for at in numbers:
             n = count[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             with np.errstate(over="ignore"):
                 h = int((hashes[at] * powers(total)[ends - n]).sum(dtype=np.uint64))
-            yield total, int(fallback[at].sum()), h, bool(same[at].all()) and SPACE not in text, at
+            yield total, int(fallback[at].sum()), h, bool(same[at].all()), at
 
 
 _OUT = "doc_id long, n_tokens long, n_byte_tokens long, ids_hash long, round_trip boolean"
@@ -445,7 +496,7 @@ def _signed(h: int) -> int:
 
 def _short(held, ids: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = UnitTable(held.value, ids)
+        t = unit_table(held.value, ids)
         for batch in batches:
             rows, lists = [], [np.zeros(0, np.int32)]
             for lo in range(0, len(batch), 256):
@@ -499,20 +550,39 @@ def _scan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": group["row"], "k": group["k"], "i": at[:-1], "j": at[1:]})
 
 
+_TABLES: dict[tuple[int, bool], UnitTable] = {}
+
+
+def unit_table(v: Vocabulary, keep_ids: bool) -> UnitTable:
+    """The worker's table of units, kept from task to task."""
+    key = (hash((tuple(v.pieces), tuple(v.scores.values()))), keep_ids)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = UnitTable(v, keep_ids)
+    return _TABLES[key]
+
+
 def _backtrace(held, ids: bool):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = held.value
+        t = unit_table(v, ids)
+        byte = t.byte
         for batch in batches:
             out = []
             for r in batch.itertuples():
                 c = _in_context(v, r)
-                pieces = c.path(r.i, r.j)
-                got = v.to_ids(pieces)
+                head, tail = c.parts(r.i, r.j)
+                lo, hi = (c.inner[0], c.inner[-1]) if c.inner else (0, 0)
+                n, b, h, same, at = next(t.encode_escaped([r.part[lo:hi]]))
+                sides = [v.to_ids(head), v.to_ids(tail)]
                 # the pieces that start here spell the text from the end of the entry piece to that of the exit piece
-                a, b = c.entry[r.i][1], max(c.exit[r.j][1], c.entry[r.i][1])
-                byte = {i: x for x, i in enumerate(v.byte_ids)}
-                raw = b"".join(bytes([byte[i]]) if i in byte else v.pieces[i].encode() for i in got)
-                out.append((r.row, r.doc_id, r.k, len(got), sum(i in byte for i in got), _signed(ids_hash(np.array(got, np.int64))), r.plain and raw.decode("utf-8", "replace") == r.part[a:b], got if ids else None))
+                a, z = c.entry[r.i][1], max(c.exit[r.j][1], c.entry[r.i][1])
+                spelt = [b"".join(bytes([byte[i]]) if i in byte else v.pieces[i].encode() for i in x).decode("utf-8", "replace") for x in sides]
+                same = same and r.plain and spelt[0] + r.part[lo:hi] + spelt[1] == r.part[a:z]
+                total = n_all = 0
+                for x, m in ((ids_hash(np.array(sides[0], np.int64)), len(sides[0])), (h, n), (ids_hash(np.array(sides[1], np.int64)), len(sides[1]))):
+                    total, n_all = (total + x * pow(_HASH_BASE, n_all, 1 << 64)) % (1 << 64), n_all + m
+                out.append((r.row, r.doc_id, r.k, n_all, b + sum(i in byte for x in sides for i in x), _signed(total), same, [*sides[0], *t.ids_of(at).tolist(), *sides[1]] if ids else None))
             yield pd.DataFrame(out, columns=["row", "doc_id", "k", "n", "b", "h", "same", "ids"])
 
     return kernel
