@@ -15,7 +15,7 @@ from .common import crc_mod, text_slices
 from .sequence import forward_backward, marginals, runs
 
 #: Labelled rows of each class that the field is learnt from at most, whole texts each.
-LEARN_ROWS = 1500
+LEARN_ROWS = 800
 SIZE = 1 << 20
 #: A view labels tokens of toxic rows when its odds ratio over rows is at least this, in this many
 #: toxic rows and this share of them.
@@ -36,7 +36,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """
     if not len(buf):
         z = np.zeros(0, np.int64)
-        return np.zeros((VIEWS, 0), np.int64), z, z, np.zeros(len(offs), np.int64)
+        return np.zeros((VIEWS, 0), np.int32), z, z, np.zeros(len(offs), np.int64)
     inside = _TOKEN[buf]
     before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -44,12 +44,12 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     before[inner] = False
     after[inner[inner > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    out = np.empty((VIEWS, len(starts)), np.int64)
+    out = np.empty((VIEWS, len(starts)), np.int32)
     with np.errstate(over="ignore"):
         prefix = tk.prefix_hash(buf, lower=True)
         cuts = [(starts, ends), *[(starts, np.minimum(starts + k, ends)) for k in (3, 4, 5)], (np.maximum(ends - 4, starts), ends)]
         for i, (a, b) in enumerate(cuts):
-            out[i] = tk.mix(tk.span_hash(prefix, a, b) + np.uint64(i)) >> np.uint64(64 - 20)
+            out[i] = (tk.mix(tk.span_hash(prefix, a, b) + np.uint64(i)) >> np.uint64(64 - 20)).astype(np.int32)
     return out, starts, ends, np.searchsorted(starts, offs)
 
 
@@ -89,7 +89,7 @@ class Field:
         f, parts = Field(), []
         for batch in texts.combine_chunks().to_batches():
             y = np.array(batch.column("toxic").to_pylist(), np.int64)
-            for lo, hi, buf, offs in text_slices(batch, limit=1 << 26):
+            for lo, hi, buf, offs in text_slices(batch):
                 seen, _, _, first = tokens(buf, offs)
                 parts.append((seen, first, y[lo:hi]))
         if not parts or not sum(w.shape[1] for w, _, _ in parts):
@@ -97,11 +97,16 @@ class Field:
         seen = np.concatenate([w for w, _, _ in parts], axis=1)
         word = seen[0]
         sizes = np.concatenate([np.diff(x) for _, x, _ in parts])
-        first, y = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([v for _, _, v in parts])
+        labels = [v for _, _, v in parts]
+        del parts
+        first, y = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(labels)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        met = np.unique((row * SIZE + seen).ravel())
-        has, of = met % SIZE, y[met // SIZE]
-        bad, good = np.bincount(has[of == 1], minlength=SIZE), np.bincount(has[of == 0], minlength=SIZE)
+        bad, good = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+        for view in seen:
+            met = np.unique(row * SIZE + view)
+            has, of = met % SIZE, y[met // SIZE]
+            bad += np.bincount(has[of == 1], minlength=SIZE)
+            good += np.bincount(has[of == 0], minlength=SIZE)
         nb, ng = max(1, (y == 1).sum()), max(1, (y == 0).sum())
         ratio = ((bad + 0.5) / (nb - bad + 0.5)) / ((good + 0.5) / (ng - good + 0.5))
         seed = (ratio >= SEED_ODDS) & (bad >= max(SEED_ROWS, SEED_SHARE * nb))
@@ -123,7 +128,7 @@ class Field:
             logits -= logits.max(0)
             q = np.exp(logits)
             joint = (q / q.sum(0)).sum(1).reshape(2, 2)
-            grads = {"word": np.bincount(seen.ravel(), np.tile(d, VIEWS), SIZE), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": pairs - joint}
+            grads = {"word": sum(np.bincount(view, d, SIZE) for view in seen), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": pairs - joint}
             for k, g in grads.items():
                 g = g - ridge * np.asarray(getattr(f, k)) * len(y)
                 g2[k] = g2[k] + g * g
