@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -34,7 +35,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of one chunk; longer texts are cut.
 CHUNK = 32_768
 #: Units, and neighbour tests, that a worker remembers before it starts anew.
-MEMORY, TESTS = 1 << 20, 1 << 19
+MEMORY, TESTS = 1 << 19, 1 << 18
 SPACE = "▁"
 _HASH_BASE = 0x9E3779B97F4A7C15 | 1
 NO_PATH = -math.inf
@@ -75,7 +76,7 @@ class Vocabulary:
     byte_ids: list[int]
     unk: int
     units: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
-    fits: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
+    fits: dict[int, bool] = field(default_factory=dict, repr=False)
 
     @staticmethod
     def load(path: str = MODEL_PATH) -> Vocabulary:
@@ -128,17 +129,20 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fit(self, a: str, b: str) -> bool:
-        """Whether pieces a and b may stand side by side."""
-        got = self.fits.get((a, b))
+        """Whether pieces a and b may stand side by side; with an empty a, whether b alone encodes as itself."""
+        key = (self.ids.get(a, -1) + 1) * 65536 + self.ids.get(b, -1)
+        if (a and a not in self.ids) or b not in self.ids:
+            return self.merged(a + b) == ([a, b] if a else [b])
+        got = self.fits.get(key)
         if got is None:
             if len(self.fits) > TESTS:
                 self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == ([a, b] if b else [a])
+            got = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
     def whole(self, piece: str) -> bool:
         """Whether a piece alone encodes as itself."""
-        return self.fit(piece, "") if len(piece) > 1 else True
+        return self.fit("", piece)
 
     def weight(self, piece: str) -> float:
         return self.scores.get(piece, 0.0)
@@ -148,19 +152,14 @@ class Vocabulary:
     def reach(self, text: str, start: int, before: str, end: int) -> dict[int, tuple[str, int]]:
         """From ``start``, after piece ``before`` ("" after a break): per reachable position up to ``end``, the piece that ends there and its start."""
         last: dict[int, tuple[str, int]] = {start: (before, -1)}
-        fits, ids, prefixes = self.fits, self.ids, self.prefixes
         for q in range(start, end):
             if q not in last:
                 continue
-            prev = last[q][0]
             for p in range(q + 1, min(end, q + self.longest) + 1):
                 piece = text[q:p]
-                if p > q + 1 and piece not in prefixes:
+                if p > q + 1 and piece not in self.prefixes:
                     break
-                if p in last or (p > q + 1 and piece not in ids):
-                    continue
-                ok = fits.get((prev, piece)) if prev else self.whole(piece)
-                if self.fit(prev, piece) if ok is None else ok:
+                if p not in last and (p == q + 1 or piece in self.ids) and self.fit(last[q][0], piece):
                     last[p] = (piece, q)
         return last
 
@@ -169,22 +168,29 @@ class Vocabulary:
         n, longest = len(text), self.longest
         fits, ids, prefixes = self.fits, self.ids, self.prefixes
         last: list[str | None] = [None] * (n + 1)
-        prev = ""
+        prev, base = "", 0
         for q in range(n):
             if q:
                 prev = last[q]
                 if prev is None:
                     continue
+                base = (ids.get(prev, -2) + 1) * 65536
             top = q + longest
             for p in range(q + 1, (top if top < n else n) + 1):
                 piece = text[q:p]
                 if piece not in prefixes:
                     if p > q + 1:
                         break
-                elif last[p] is not None or (piece not in ids and p > q + 1):
+                elif last[p] is not None:
                     continue
-                ok = fits.get((prev, piece)) if q else fits.get((piece, ""))
-                if ok or (ok is None and (self.fit(prev, piece) if q else self.whole(piece))):
+                at = ids.get(piece)
+                if at is None:
+                    ok = p == q + 1 and last[p] is None and self.fit(prev, piece)
+                else:
+                    ok = fits.get(base + at) if base >= 0 else None
+                    if ok is None:
+                        ok = self.fit(prev, piece)
+                if ok:
                     last[p] = piece
         out = []
         while n:
@@ -229,7 +235,7 @@ class Vocabulary:
         out = []
         for a in range(max(0, cut - self.longest), cut):
             for b in range(cut, min(len(text), a + self.longest) + 1):
-                if b - a == 1 or (b - a > 1 and text[a:b] in self.ids and self.whole(text[a:b])):
+                if b - a == 1 or (text[a:b] in self.ids and self.whole(text[a:b])):
                     out.append((a, b))
         return out
 
@@ -298,7 +304,7 @@ class Chunk:
         if a not in last:
             return None
         prev, piece = last[a][0], self.text[a:b]
-        if self.v.fit(prev, piece) if prev else self.v.whole(piece):
+        if self.v.fit(prev, piece):
             return [*self.v.trace(last, a), piece]
         return None
 
@@ -415,9 +421,7 @@ class UnitTable:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.count, self.hash, self.fallback, self.same, self.flat = [], [], [], [], []
-        self._flat = np.zeros(0, np.int32)
-        self._arrays = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+        self.count, self.hash, self.fallback, self.same, self.flat = array("I"), array("Q"), array("I"), array("B"), array("i")
 
     def add(self, unit: str) -> int:
         """Encode a new unit, and decode it again to see that its text comes back."""
@@ -429,7 +433,7 @@ class UnitTable:
             pieces = [p for a, b in itertools.pairwise([0, *at, len(unit)]) for p in v.solve(unit[a:b])]
         ids = v.to_ids(pieces)
         if self.keep_ids:
-            self.flat += ids
+            self.flat.extend(ids)
         base = self.base if len(ids) <= len(self.base) else [pow(_HASH_BASE, k, 1 << 64) for k in range(len(ids))]
         fallback = sum(i in self.byte for i in ids)
         if fallback:
@@ -444,20 +448,16 @@ class UnitTable:
         return len(self.count) - 1
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        n = len(self._arrays[0])
-        if n != len(self.count):
-            new = (self.count, np.int64), (self.hash, np.uint64), (self.fallback, np.int64), (self.same, bool)
-            self._arrays = tuple(np.concatenate([old, np.array(x[n:], kind)]) for old, (x, kind) in zip(self._arrays, new, strict=True))
-        return self._arrays
+        """Copies, as the tables go on growing."""
+        return np.array(self.count, np.int64), np.array(self.hash, np.uint64), np.array(self.fallback, np.int64), np.array(self.same, bool)
 
     def ids_of(self, at: np.ndarray) -> np.ndarray:
         """The ids of a sequence of unit numbers."""
-        if len(self._flat) != len(self.flat):
-            self._flat = np.concatenate([self._flat, np.array(self.flat[len(self._flat) :], np.int32)])
-        n = self.arrays()[0]
+        n = np.array(self.count, np.int64)
         begin = np.cumsum(n) - n
         k = n[at]
-        return self._flat[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        flat = np.array(self.flat, np.int32)
+        return flat[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
         """Per text: (tokens, byte tokens, hash, whether decoding gives the text back, unit numbers)."""
