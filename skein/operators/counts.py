@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def callees_by_caller(edges: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(group..., caller, callees): callees in order, repeats kept."""
-    return edges.groupBy(*group, "caller").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "callee"))), lambda x: x["callee"]).alias("callees"))
+    return edges.groupBy(*group, "caller").agg(F.transform(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "callee"])))), lambda x: x["callee"]).alias("callees"))
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "cnt") -> DataFrame:

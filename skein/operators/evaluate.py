@@ -20,7 +20,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int, key: str = "id", features
     """
     q = test.select(F.col(key).alias("id"), F.col(features).alias("_q"))
     t = train.select(F.col(key).alias("other"), F.col(features).alias("_t"), F.col(label).alias("label"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     d = F.sqrt(squared_distance(F.col("_q"), F.col("_t")))
     pairs = q.join(t, "_b").select("id", "_b", "other", "label", (F.round(d, digits) if digits is not None else d).alias("distance"))
     best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "other"))).where(F.col("rank") <= k)

@@ -268,7 +268,7 @@ def flow_counts(edges: DataFrame, pairs: DataFrame, rule: str = "default", app:
         g = LocalGraph(e)
         return pd.DataFrame({app: p[app], "source": p["source"], "sink": p["sink"], "n_flows": [count(g, a, b) for a, b in zip(p["source"], p["sink"], strict=True)]})
 
-    return edges.groupBy(app).cogroup(pairs.groupBy(app)).applyInPandas(kernel, f"{app} string, source string, sink string, n_flows long")
+    return edges.groupBy(app).cogroup(pairs.toDF(*pairs.columns).groupBy(app)).applyInPandas(kernel, f"{app} string, source string, sink string, n_flows long")
 
 
 def tree_flow_counts(tree: DataFrame, pairs: DataFrame, by_caller: bool = False, app: str = "app") -> DataFrame:
@@ -318,7 +318,7 @@ def tree_flow_counts(tree: DataFrame, pairs: DataFrame, by_caller: bool = False,
 
         return pd.DataFrame({app: p[app], "source": p["source"], "sink": p["sink"], "n_flows": [count(a, b) for a, b in zip(p["source"], p["sink"], strict=True)]})
 
-    return tree.groupBy(app).cogroup(pairs.groupBy(app)).applyInPandas(kernel, f"{app} string, source string, sink string, n_flows long")
+    return tree.groupBy(app).cogroup(pairs.toDF(*pairs.columns).groupBy(app)).applyInPandas(kernel, f"{app} string, source string, sink string, n_flows long")
 
 
 def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, rounds: int = 1000, tolerance: float = 1e-6, app: str = "app", digits: int | None = None) -> DataFrame:
@@ -347,7 +347,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, app: str = "app") -> Data
         rows = [(p[app].iloc[i], a, b, path) for i, (a, b) in enumerate(zip(p["src"], p["dst"], strict=True)) if (path := g.shortest(a, b)) is not None]
         return pd.DataFrame([(x, a, b, [a, *[d for _, d in path]]) for x, a, b, path in rows], columns=[app, "src", "dst", "path"])
 
-    return edges.groupBy(app).cogroup(pairs.groupBy(app)).applyInPandas(kernel, f"{app} string, src string, dst string, path array<string>")
+    return edges.groupBy(app).cogroup(pairs.toDF(*pairs.columns).groupBy(app)).applyInPandas(kernel, f"{app} string, src string, dst string, path array<string>")
 
 
 def tree_paths(tree: DataFrame, pairs: DataFrame, app: str = "app") -> DataFrame:
