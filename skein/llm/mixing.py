@@ -105,6 +105,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``docs``, all rows and columns, in the mixed order: files by range of slots, rows in order inside."""
     spark = docs.sparkSession
-    plan = Scratch(spark, "mixed").save(mix(docs, weights).select(F.col("doc_id").alias("_id"), "slot", "start"), "plan")
-    out = docs.join(plan, docs.doc_id.cast("long") == plan._id, "left")
-    return out.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start", "_id").select(*[docs[c] for c in docs.columns])
+    free = [f"_mix{i}" for i in range(len(docs.columns) + 3) if f"_mix{i}" not in docs.columns]
+    key, slot, start = free[:3]
+    plan = Scratch(spark, "mixed").save(mix(docs, weights).select(F.col("doc_id").alias(key), F.col("slot").alias(slot), F.col("start").alias(start)), "plan")
+    out = docs.join(plan, docs.doc_id.cast("long") == plan[key], "left")
+    return out.repartitionByRange(slot, start).sortWithinPartitions(slot, start, key).select(*docs.columns)
