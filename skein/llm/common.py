@@ -29,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows of an Arrow batch at most: with it a worker's share of texts and results is bounded.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session then sends at most ``BATCH_ROWS`` rows to a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive lost executors."""
 

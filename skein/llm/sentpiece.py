@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bound_batches
 
 #: Where the public vocabulary file lies, unless given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -110,8 +110,22 @@ class Vocabulary:
         body = f"(?:[^{mark}{SPACE}{odd}]+|[{odd}][{mark}]*)+" if odd else f"[^{mark}{SPACE}]+"
         self.pattern = f"{SPACE}*[{mark}]*{body}|{SPACE}*[{mark}]+|{SPACE}+"
 
+        self.single = all(c in self.ids for c in self.alphabet)
+        self.root = None
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "fits": {}}
+        return self.__dict__ | {"units": {}, "fits": {}, "root": None}
+
+    def trie(self) -> dict:
+        """Pieces by character; a piece's id lies under the empty string."""
+        if self.root is None:
+            self.root = {}
+            for p, i in self.ids.items():
+                node = self.root
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = i
+        return self.root
 
     # neighbours
 
@@ -198,6 +212,34 @@ class Vocabulary:
             n -= len(out[-1])
         return out[::-1]
 
+    def solve_ids(self, text: str) -> list[int]:
+        """Ids of ``solve``'s pieces, walked in the trie; for texts whose characters all are pieces."""
+        n, fits, root = len(text), self.fits, self.trie()
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        base = 0
+        for q in range(n):
+            if q:
+                if last[q] < 0:
+                    continue
+                base = (last[q] + 1) * 65536
+            node = root
+            for p in range(q, n):
+                node = node.get(text[p])
+                if node is None:
+                    break
+                if last[p + 1] < 0:
+                    at = node.get("")
+                    if at is not None:
+                        ok = fits.get(base + at)
+                        if ok or (ok is None and self.fit(self.pieces[last[q]] if q else "", self.pieces[at])):
+                            last[p + 1], begin[p + 1] = at, q
+        out = []
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        out.reverse()
+        return out
+
     @staticmethod
     def trace(last: dict[int, tuple[str, int]], end: int) -> list[str]:
         out = []
@@ -421,25 +463,23 @@ class UnitTable:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.met = np.zeros(0, np.int64)
         self.count, self.hash, self.fallback, self.same, self.flat = array("I"), array("Q"), array("I"), array("B"), array("i")
 
     def add(self, unit: str) -> int:
         """Encode a new unit, and decode it again to see that its text comes back."""
         v = self.v
-        if v.alphabet.issuperset(unit):
-            pieces = v.solve(unit)
+        fallback = 0
+        if v.single and v.alphabet.issuperset(unit):
+            ids = v.solve_ids(unit)
+            back = "".join([v.pieces[i] for i in ids])
         else:
-            at = [b for b in v.breaks(unit) if 0 < b < len(unit)]
-            pieces = [p for a, b in itertools.pairwise([0, *at, len(unit)]) for p in v.solve(unit[a:b])]
-        ids = v.to_ids(pieces)
+            ids = v.to_ids(v.encode_pieces(unit))
+            fallback = sum(i in self.byte for i in ids)
+            back = b"".join(bytes([self.byte[i]]) if i in self.byte else v.pieces[i].encode() for i in ids).decode("utf-8", "replace")
         if self.keep_ids:
             self.flat.extend(ids)
         base = self.base if len(ids) <= len(self.base) else [pow(_HASH_BASE, k, 1 << 64) for k in range(len(ids))]
-        fallback = sum(i in self.byte for i in ids)
-        if fallback:
-            back = b"".join(bytes([self.byte[i]]) if i in self.byte else v.pieces[i].encode() for i in ids).decode("utf-8", "replace")
-        else:
-            back = "".join([v.pieces[i] for i in ids])
         self.count.append(len(ids))
         self.hash.append(sum([(i + 1) * b for i, b in zip(ids, base, strict=False)]) % (1 << 64))
         self.fallback.append(fallback)
@@ -448,8 +488,22 @@ class UnitTable:
         return len(self.count) - 1
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        """Copies, as the tables go on growing."""
-        return np.array(self.count, np.int64), np.array(self.hash, np.uint64), np.array(self.fallback, np.int64), np.array(self.same, bool)
+        """Views; they must be gone before a unit is added."""
+        return np.frombuffer(self.count, np.uint32), np.frombuffer(self.hash, np.uint64), np.frombuffer(self.fallback, np.uint32), np.frombuffer(self.same, np.uint8)
+
+    def forget(self) -> None:
+        """Keep the units that were met most, at most half of them."""
+        least = int(np.partition(self.met, -(len(self.met) // 2))[-(len(self.met) // 2)])
+        keep = np.flatnonzero(self.met > max(1, least))
+        flat = self.ids_of(keep) if self.keep_ids else ()
+        old = [np.array(x)[keep] for x in self.arrays()]
+        place = dict(zip(keep.tolist(), range(len(keep)), strict=True))
+        number = {u: place[k] for u, k in self.number.items() if k in place}
+        self.clear()
+        self.number = number
+        for x, values in zip((self.count, self.hash, self.fallback, self.same), old, strict=True):
+            x.frombytes(values.tobytes())
+        self.flat.extend(int(i) for i in flat)
 
     def ids_of(self, at: np.ndarray) -> np.ndarray:
         """The ids of a sequence of unit numbers."""
@@ -466,7 +520,7 @@ class UnitTable:
 
     def encode_escaped(self, texts: Iterable[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
         if len(self.number) > MEMORY:
-            self.clear()
+            self.forget()
         numbers = []
         for text in texts:
             units = self.split.findall(text)
@@ -477,14 +531,19 @@ class UnitTable:
                         k = self.number.get(units[i])
                         at[i] = self.add(units[i]) if k is None else k
             numbers.append(np.array(at, np.int64))
+        if numbers:
+            now = np.bincount(np.concatenate(numbers), minlength=len(self.count))
+            now[: len(self.met)] += self.met
+            self.met = now
         count, hashes, fallback, same = self.arrays()
         for at in numbers:
-            n = count[at]
+            n = count[at].astype(np.int64)
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             with np.errstate(over="ignore"):
                 h = int((hashes[at] * powers(total)[ends - n]).sum(dtype=np.uint64))
             yield total, int(fallback[at].sum()), h, bool(same[at].all()), at
+        del count, hashes, fallback, same
 
 
 _OUT = "doc_id long, n_tokens long, n_byte_tokens long, ids_hash long, round_trip boolean"
@@ -615,7 +674,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids: bool = Tr
     if chunk < 4 * v.longest:
         raise ValueError("a chunk must be longer than four of the longest pieces")
     held = spark.sparkContext.broadcast(v)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     short = base.where(F.length(F.coalesce("text", F.lit(""))) < chunk).mapInArrow(_short(held, ids), _OUT + ", ids array<int>" * ids)
 
     scratch = Scratch(spark, "pieces")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import crc_mod, text_slices
+from .common import bound_batches, crc_mod, text_slices
 from .sequence import forward_backward, marginals, runs
 
 #: Labelled rows of each class that the field is learnt from at most, whole texts each.
@@ -184,7 +184,7 @@ def tag(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_toxic", "spans"][: len(cols)])
 
     schema = "doc_id long, score double, n_toxic long" + ", spans array<struct<start:long,end:long>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel, schema)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
