@@ -28,10 +28,10 @@ def list_directories(files: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, name, value): each file one row."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
 
 
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def json_records(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 def node_link_graph(spark: SparkSession, path: str) -> DataFrame:
     """(app, src, dst) of node-link JSON files, links by node position or id."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("app"), F.from_json("value", "struct<nodes:array<struct<id:string>>,links:array<struct<source:string,target:string>>>").alias("g"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("app"), F.from_json("value", "struct<nodes:array<struct<id:string>>,links:array<struct<source:string,target:string>>>").alias("g"))
     named = lambda c: F.coalesce(F.try_element_at(F.transform("g.nodes", lambda x: x["id"]), F.expr(f"try_cast({c} AS int)") + 1), F.col(c))
     return raw.select("app", "g", F.explode("g.links").alias("l")).select("app", named("l.source").alias("src"), named("l.target").alias("dst"))
 
