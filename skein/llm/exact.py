@@ -41,7 +41,8 @@ class DigestIndex:
     ``append(batch)`` finds the digests that are new with a sort-merge anti join, for which the index
     needs no shuffle, and appends only these, as further sorted files of the same buckets. A digest
     that is in the index keeps the row that was indexed first, whatever later batches hold.
-    The name of the table is the state: a later run opens the same index by name.
+    The name of the table is the state: a later run opens the same index by name, or, where the catalogue did
+    not outlive the session, by ``path`` and ``buckets``, from which it is registered again.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, path: str | None = None):
@@ -53,7 +54,14 @@ class DigestIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        if self.spark.catalog.tableExists(self.name):
+            return True
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return False
+        self.spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet OPTIONS (path '{self.path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

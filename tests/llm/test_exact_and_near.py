@@ -49,6 +49,10 @@ def test_index_keeps_what_came_first(spark):
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_dedup(docs(spark, [(1, "sa me"), (2, "new")]), index).collect()}
     assert got == {1: (5, False), 2: (2, True)}
     assert exact.DigestIndex(spark, index.name).read().count() == 3
+    spark.sql(f"DROP TABLE {index.name}")
+    again = exact.DigestIndex(spark, index.name, index.buckets, index.path)
+    assert again.exists() and again.read().count() == 3
+    assert [r.kept for r in exact.exact_dedup(docs(spark, [(9, "other")]), again).collect()] == [False]
     assert sorted(r.doc_id for r in exact.keep_first_copies(docs(spark, ROWS)).collect()) == sorted(i for i, k, _, kept, _ in brute_exact(ROWS) if kept)
 
 
