@@ -111,6 +111,11 @@ def pca_rf(spark, sf_dir):
     return evaluate.confusion(models.cross_validate(c, [models.forest(6, 10, features="components")], 3))
 
 
+def l1_svm_cv(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("double")).withColumn("fold", F.col("fold") % 3)
+    return evaluate.confusion(models.l1_svm_folds(p, 3, c=1.0))
+
+
 def two_stage(spark, sf_dir):
     v = _vectors(spark, sf_dir).join(_points(spark, sf_dir).select("id", F.col("label").cast("double").alias("family_label")), "id")
     train, test = v.where("fold > 0"), v.where("fold = 0")
@@ -144,7 +149,7 @@ d AS (SELECT q.id, t.id AS other, t.label, round(sqrt(list_sum(list_transform(li
 n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, other) AS INT) AS rank, other, distance, label FROM d)
 """
 _ROUND = ", ".join(f'round("{x}", 6) AS "{x}"' for x in RATES)
-QUERIES = {f.__name__: f for f in (knn1, knn3, kfold_confusion, fold_mean_sem, per_class_prf, weighted_prf, roc_points, roc_auc, pr_auc, micro_roc, share_of_errors, misclassified_rows, bow_svm, rf_cv, pca_rf, two_stage, stream_transitions)}
+QUERIES = {f.__name__: f for f in (knn1, knn3, kfold_confusion, fold_mean_sem, per_class_prf, weighted_prf, roc_points, roc_auc, pr_auc, micro_roc, share_of_errors, misclassified_rows, bow_svm, rf_cv, pca_rf, l1_svm_cv, two_stage, stream_transitions)}
 ORACLES = {
     "knn1": _KNN + "SELECT * FROM n WHERE rank = 1",
     "knn3": _KNN + ", v AS (SELECT id, label, count(*) AS c FROM n WHERE rank <= 3 GROUP BY 1, 2), w AS (SELECT id, label AS pred, row_number() OVER (PARTITION BY id ORDER BY c DESC, label) AS r FROM v) SELECT w.id, pred, e.label FROM w JOIN e USING (id) WHERE r = 1",

@@ -124,3 +124,15 @@ def test_streams_agree_with_batch(spark, sf):
     batch = markov.successive_pairs(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], "event_type", ["ts", "event_id"])
     count = lambda df: {(r.user_id, r.src, r.dst): r.n for r in df.groupBy("user_id", "src", "dst").agg(F.count("*").alias("n")).collect()}
     assert count(spark.table("t_stream")) == count(batch)
+
+
+def test_l1_svm_meets_its_optimality_conditions():
+    from skein.operators.models import l1_svm
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 8))
+    y = np.where(x[:, 0] - 0.5 * x[:, 1] + 0.1 * rng.normal(size=120) > 0, 1.0, -1.0)
+    w, b = l1_svm(x, y, c=0.1, rounds=20000, tolerance=1e-12)
+    grad = 2 * 0.1 * (x.T @ (y * np.maximum(1 - y * (x @ w + b), 0)))
+    assert np.allclose(grad[w != 0], np.sign(w[w != 0]), atol=1e-4) and (np.abs(grad[w == 0]) <= 1 + 1e-4).all()
+    assert (np.sign(x @ w + b) == y).mean() > 0.9
