@@ -57,6 +57,15 @@ class Scratch:
         self.release()
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """As ``save``, dealt by ``key`` once, so that later joins and groups by it need no shuffle of this table."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"skein_{uuid.uuid4().hex[:16]}"
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{self.root}/{name}").saveAsTable(table)
+        del df
+        self.release()
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
