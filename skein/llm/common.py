@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -89,11 +91,25 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string")) % mod
 
 
+#: Tables that a worker process keeps from task to task; a kernel of another operator frees them.
+WORKER_TABLES: dict = {}
+
+
+def free_worker_tables() -> None:
+    """Free what another operator's tasks left in this worker process, and give the memory back."""
+    if WORKER_TABLES:
+        WORKER_TABLES.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about ``limit`` bytes; null counts as empty.
 
     One row that is longer than the limit is a slice of its own: texts are never cut.
     """
+    free_worker_tables()
     col = batch.column(batch.schema.get_field_index(column))
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import WORKER_TABLES, Scratch, bound_batches, free_worker_tables
 
 #: Where the public vocabulary file lies, unless given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of one chunk; longer texts are cut.
 CHUNK = 32_768
 #: Units, and neighbour tests, that a worker remembers before it starts anew.
-MEMORY, TESTS = 1 << 19, 1 << 18
+MEMORY, TESTS = 1 << 18, 1 << 18
 SPACE = "▁"
 _HASH_BASE = 0x9E3779B97F4A7C15 | 1
 NO_PATH = -math.inf
@@ -609,16 +609,13 @@ def _scan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": group["row"], "k": group["k"], "i": at[:-1], "j": at[1:]})
 
 
-_TABLES: dict[tuple[int, bool], UnitTable] = {}
-
-
 def unit_table(v: Vocabulary, keep_ids: bool) -> UnitTable:
     """The worker's table of units, kept from task to task."""
     key = (hash((tuple(v.pieces), tuple(v.scores.values()))), keep_ids)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = UnitTable(v, keep_ids)
-    return _TABLES[key]
+    if key not in WORKER_TABLES:
+        free_worker_tables()
+        WORKER_TABLES[key] = UnitTable(v, keep_ids)
+    return WORKER_TABLES[key]
 
 
 def _backtrace(held, ids: bool):
