@@ -210,7 +210,7 @@ def _pivots(rows: DataFrame) -> np.ndarray:
 def top_k(queries: DataFrame, data: DataFrame, k: int = TOP, salts: int = 4) -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score: its k largest inner products, ties to the smaller vec_id.
 
-    Both sides are ``whole_vectors`` of one dimension; a row is never its own query's answer. Data and
+    Both sides are ``whole_vectors``; shorter ones count as filled up with zeros. A row is never its own query's answer. Data and
     queries are grouped by near pivots into blocks with a cover tree each. Every query tree meets every
     data tree once, those of largest bound first, and whole trees or pairs of nodes below the worst k-th
     score of a query group are cut off; the search of one query block is dealt to ``salts`` tasks. Fewer
@@ -220,6 +220,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = TOP, salts: int = 4) ->
     scratch = Scratch(spark, "topk")
     data = scratch.save(data.dropDuplicates(["vec_id"]), "data")
     queries = scratch.save(queries.dropDuplicates(["vec_id"]), "queries")
+    widths = data.select(F.size("x").alias("n")).unionAll(queries.select(F.size("x"))).agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
+    if widths["low"] != widths["high"]:
+        data, queries = (t.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), widths["high"] - F.size("x")))) for t in (data, queries))
     pivots = _pivots(data)
     schema = "vec_id long, x array<double>, pivot int"
     d = _blocks(data.mapInArrow(_assign(pivots), schema), DATA_BLOCK, scratch, "d-trees")

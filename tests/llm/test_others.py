@@ -120,6 +120,11 @@ def test_dual_tree_matches_brute_force(spark, n):
     assert sorted(tuple(r) for r in topk.nearest_of_every_20th(df).collect()) == brute_top(dict(rows).items(), 20)
 
 
+def test_vectors_of_unequal_length(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0, 5.0]), (2, []), (3, [2.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.rank, r.vec_id, r.score) for r in topk.nearest_of_every_20th(df).collect()) == [(1, 1, 64 * 64 * 3), (2, 3, 64 * 64 * 2)]
+
+
 def test_tree_covers_and_cuts_off():
     rng = np.random.default_rng(1)
     x = np.floor(64 * np.concatenate([rng.normal(size=(2000, 8)) * 0.05 + c for c in rng.normal(size=(4, 8)) * 3]))
