@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,15 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Have the executors collect garbage and return heap that they no longer use, before stages that need Python's memory.
+
+    One short task per slot calls the collector; where a task lands twice or never, only memory is less evenly returned.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -95,13 +104,33 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
 WORKER_TABLES: dict = {}
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: a worker process waits for its next task with little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_worker_tables() -> None:
-    """Free what another operator's tasks left in this worker process, and give the memory back."""
+    """Free what another operator's tasks left in this worker process."""
     if WORKER_TABLES:
+        for held in WORKER_TABLES.values():
+            held.free()
         WORKER_TABLES.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back_memory()
+
+
+def lean(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map kernel that gives its memory back at the end of a task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back_memory()
+
+    return run
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import bound_batches, crc_mod, text_slices
+from .common import bound_batches, crc_mod, lean, text_slices
 from .sequence import runs, viterbi
 
 #: Rows that the model is learnt from at most, whole texts each.
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "n_langs", "spans"][: len(cols)])
 
     schema = "doc_id long, lang_pred string, score double, n_langs int" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel, schema)
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -245,4 +245,4 @@ def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY
                 part = part.set_column(at, batch.schema.field(at), pc.if_else(pc.equal(lang, ""), pc.if_else(part.column(at).is_null(), guess, lang), lang))
                 yield part.filter(pa.array((total > 0) & (foreign <= 0.5)))
 
-    return bound_batches(docs).mapInArrow(kernel, docs.schema)
+    return bound_batches(docs).mapInArrow(lean(kernel), docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import Scratch, bound_batches, text_slices
+from .common import Scratch, bound_batches, give_back_heap, lean, text_slices
 from .components import components
 
 #: Minima whose low bits are kept; bands and the minima of each (the first BANDS * ROWS); low bits kept of one.
@@ -67,7 +67,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per document: n_shingles (distinct), two 64-bit sums that name its set, the packed signature, band keys."""
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_signatures), "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, members): the full set of 64-bit shingle hashes of each document."""
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets, "doc_id long, members array<long>")
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_sets), "doc_id long, members array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -154,6 +154,7 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = docs.where("doc_id IS NOT NULL")
+    give_back_heap(spark)
     all_sigs = scratch.save(signatures(docs), "sigs")
     names = all_sigs.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     names = scratch.save(names, "names")
@@ -169,6 +170,7 @@ def near_dup_groups(docs: DataFrame) -> DataFrame:
     named = lambda pairs: pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     needed = scratch.save(named(star), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    give_back_heap(spark)
     sets = scratch.save(shingle_sets(texts.join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     links = scratch.save(_confirmed(star, sets), "links")
     first = scratch.save(components(links, scratch, "first"), "first")

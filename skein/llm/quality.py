@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import bound_batches, crc_mod, text_slices
+from .common import bound_batches, crc_mod, lean, text_slices
 
 #: Labelled rows of each class that the ranking is learnt from at most, and preference pairs of one document.
 LEARN_ROWS, PAIRS_EACH = 2000, 20
@@ -131,7 +131,7 @@ def _text_features(docs: DataFrame) -> DataFrame:
                 x = features(buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel, "doc_id long, x array<double>")
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, x array<double>")
 
 
 def learn_ranking(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Ranking:
@@ -164,7 +164,7 @@ def rank(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 x = features(buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(held.value.strength(x)), pa.array(held.value.scores(x))], ["doc_id", "strength", "score"])
 
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kernel, "doc_id long, strength double, score double")
+    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, strength double, score double")
 
 
 def keep_above_quantile(ranked: DataFrame, share: float) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORKER_TABLES, Scratch, bound_batches, free_worker_tables
+from .common import WORKER_TABLES, Scratch, bound_batches, free_worker_tables, give_back_heap, lean
 
 #: Where the public vocabulary file lies, unless given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -103,7 +103,6 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
         self.alphabet = {c for p in self.ids for c in p}
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         mark = r"\x00-/:-@\[-`{-\x7f"
         # a unit ends where an ASCII mark follows a character after which no piece goes on with one
         odd = "".join(sorted({re.escape(c) for p in self.ids for c in re.findall(f"([^{mark}{SPACE}])[{mark}]", p)}))
@@ -166,54 +165,28 @@ class Vocabulary:
     def reach(self, text: str, start: int, before: str, end: int) -> dict[int, tuple[str, int]]:
         """From ``start``, after piece ``before`` ("" after a break): per reachable position up to ``end``, the piece that ends there and its start."""
         last: dict[int, tuple[str, int]] = {start: (before, -1)}
+        root = self.trie()
         for q in range(start, end):
             if q not in last:
                 continue
-            for p in range(q + 1, min(end, q + self.longest) + 1):
-                piece = text[q:p]
-                if p > q + 1 and piece not in self.prefixes:
+            node = root
+            for p in range(q + 1, end + 1):
+                node = node.get(text[p - 1]) if node is not None else None
+                if node is None and p > q + 1:
                     break
-                if p not in last and (p == q + 1 or piece in self.ids) and self.fit(last[q][0], piece):
+                piece = text[q:p]
+                if p not in last and (p == q + 1 or "" in node) and self.fit(last[q][0], piece):
                     last[p] = (piece, q)
         return last
 
     def solve(self, text: str) -> list[str]:
-        """Pieces of a text without a break inside: ``reach`` and ``trace`` from its start to its end."""
-        n, longest = len(text), self.longest
-        fits, ids, prefixes = self.fits, self.ids, self.prefixes
-        last: list[str | None] = [None] * (n + 1)
-        prev, base = "", 0
-        for q in range(n):
-            if q:
-                prev = last[q]
-                if prev is None:
-                    continue
-                base = (ids.get(prev, -2) + 1) * 65536
-            top = q + longest
-            for p in range(q + 1, (top if top < n else n) + 1):
-                piece = text[q:p]
-                if piece not in prefixes:
-                    if p > q + 1:
-                        break
-                elif last[p] is not None:
-                    continue
-                at = ids.get(piece)
-                if at is None:
-                    ok = p == q + 1 and last[p] is None and self.fit(prev, piece)
-                else:
-                    ok = fits.get(base + at) if base >= 0 else None
-                    if ok is None:
-                        ok = self.fit(prev, piece)
-                if ok:
-                    last[p] = piece
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(out[-1])
-        return out[::-1]
+        """Pieces of a text without a break inside."""
+        if self.single and self.alphabet.issuperset(text):
+            return [self.pieces[i] for i in self.solve_ids(text)]
+        return self.trace(self.reach(text, 0, "", len(text)), len(text))
 
     def solve_ids(self, text: str) -> list[int]:
-        """Ids of ``solve``'s pieces, walked in the trie; for texts whose characters all are pieces."""
+        """Their ids, walked in the trie; for texts whose characters all are pieces."""
         n, fits, root = len(text), self.fits, self.trie()
         last, begin = [-1] * (n + 1), [0] * (n + 1)
         base = 0
@@ -487,6 +460,13 @@ class UnitTable:
         self.number[unit] = len(self.count) - 1
         return len(self.count) - 1
 
+    def free(self) -> None:
+        """Let go what the worker's vocabulary has gathered too."""
+        self.clear()
+        self.v.root = None
+        self.v.fits.clear()
+        self.v.units.clear()
+
     def arrays(self) -> tuple[np.ndarray, ...]:
         """Views; they must be gone before a unit is added."""
         return np.frombuffer(self.count, np.uint32), np.frombuffer(self.hash, np.uint64), np.frombuffer(self.fallback, np.uint32), np.frombuffer(self.same, np.uint8)
@@ -671,16 +651,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids: bool = Tr
     if chunk < 4 * v.longest:
         raise ValueError("a chunk must be longer than four of the longest pieces")
     held = spark.sparkContext.broadcast(v)
+    give_back_heap(spark)
     base = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = base.where(F.length(F.coalesce("text", F.lit(""))) < chunk).mapInArrow(_short(held, ids), _OUT + ", ids array<int>" * ids)
+    short = base.where(F.length(F.coalesce("text", F.lit(""))) < chunk).mapInArrow(lean(_short(held, ids)), _OUT + ", ids array<int>" * ids)
 
     scratch = Scratch(spark, "pieces")
     giant = base.where(F.length("text") >= chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = giant.mapInPandas(_cut(v.longest, chunk), "row long, doc_id long, k int, part string, lo int, hi int, plain boolean")
+    parts = giant.mapInPandas(lean(_cut(v.longest, chunk)), "row long, doc_id long, k int, part string, lo int, hi int, plain boolean")
     parts = scratch.save(parts.repartition("row", "k"), "parts")
-    matrices = parts.mapInPandas(_matrices(held), "row long, k int, n int, m int, w array<double>")
+    matrices = parts.mapInPandas(lean(_matrices(held)), "row long, k int, n int, m int, w array<double>")
     states = scratch.save(matrices.groupBy("row").applyInPandas(_scan, "row long, k int, i int, j int"), "states")
-    solved = parts.join(states, ["row", "k"]).mapInPandas(_backtrace(held, ids), "row long, doc_id long, k int, n long, b long, h long, same boolean, ids array<int>")
+    solved = parts.join(states, ["row", "k"]).mapInPandas(lean(_backtrace(held, ids)), "row long, doc_id long, k int, n long, b long, h long, same boolean, ids array<int>")
     whole = solved.groupBy("row").applyInPandas(_join(ids), "row long, " + _OUT + ", ids array<int>" * ids).drop("row")
     return short.unionByName(whole)
 
@@ -693,5 +674,5 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [held.value.decode([int(i) for i in x] if x is not None else []) for x in batch["ids"]]})
 
-    return tokens.select("doc_id", F.col(ids_col).alias("ids")).mapInPandas(kernel, "doc_id long, text string")
+    return tokens.select("doc_id", F.col(ids_col).alias("ids")).mapInPandas(lean(kernel), "doc_id long, text string")
 
