@@ -86,7 +86,7 @@ def subtype_closure(spark, sf_dir):
 def _timed_edges(spark, sf_dir):
     from .trace_queries import _timed
 
-    e = _timed(spark, sf_dir).where("user_id % 10 = 0").select(F.concat(F.lit("u"), "user_id").alias("app"), F.col("event_type").alias("callee"), F.when(F.col("value") > 10, "view").otherwise("signup").alias("caller"), "ts")
+    e = _timed(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("app"), F.col("event_type").alias("callee"), F.when(F.col("value") > 10, "view").otherwise("signup").alias("caller"), "ts")
     return trace.edges(e.where("caller <> callee"))
 
 
@@ -106,7 +106,7 @@ def flow_counts(spark, sf_dir):
 def tree_flow_counts(spark, sf_dir):
     from .trace_queries import call_tree
 
-    t = call_tree(spark, sf_dir).where("app % 10 = 0").withColumn("app", F.concat(F.lit("u"), "app"))
+    t = call_tree(spark, sf_dir).withColumn("app", F.concat(F.lit("u"), "app"))
     return graph.tree_flow_counts(t, _flow_pairs(t)).withColumn("rule", F.lit("instances")).unionByName(graph.tree_flow_counts(t, _flow_pairs(t), by_caller=True).withColumn("rule", F.lit("callers")))
 
 
