@@ -9,8 +9,8 @@ from skein.llm.common import Scratch
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID, learnt on these documents: texts without letters or of unknown scripts go."""
-    return langid.keep_known_languages(docs, langid.learn_model(docs))
+    """Language ID, learnt on these documents: texts without letters go, and of those without a lang the ones in unknown scripts."""
+    return langid.keep_known_languages(docs, langid.learn_model(docs, held_out=False))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import learn
@@ -17,8 +19,10 @@ from . import textkernel as tk
 from .common import bound_batches, crc_mod, lean, text_slices
 from .sequence import runs, viterbi
 
-#: Rows that the model is learnt from at most, whole texts each.
-LEARN_ROWS = 4000
+#: Rows that the model is learnt from, whole texts each; languages with fewer rows among them have this many more, if there are.
+LEARN_ROWS, LANGUAGE_ROWS = 4000, 20
+#: Share of a language's letters from which on it uses a script.
+USES = 0.01
 #: Cost of a change of language, in nats.
 PENALTY = 15.0
 SIZE = 1 << 17
@@ -85,11 +89,12 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Gram scores per language, scripts that languages use, and what makes a language a mixed document's own.
 
-    ``frame``: weights of a language's share of the bytes, of opening and of closing the document.
+    ``known``: scripts that any known language uses. ``frame``: weights of a language's share of the bytes, of opening and of closing the document.
     """
 
     def __init__(self, langs: list[str], table: np.ndarray, uses: np.ndarray):
         self.langs, self.table, self.uses, self.frame = langs, table, uses, np.array([1.0, 0.0, 0.0])
+        self.known = uses.any(0)
 
     @staticmethod
     def fit(texts: pa.Table) -> Model:
@@ -112,7 +117,7 @@ class Model:
                     letters[k] += np.bincount(kind[mine[at]], minlength=letters.shape[1])
         logp = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * SIZE)
         letters[:, 0] = 0
-        uses = letters >= 0.01 * np.maximum(letters.sum(1, keepdims=True), 1)
+        uses = letters >= USES * np.maximum(letters.sum(1, keepdims=True), 1)
         m = Model(langs, np.ascontiguousarray((logp - logp.mean(1, keepdims=True)).astype(np.float32)), uses)
         better = []
         for batch in texts.combine_chunks().to_batches():
@@ -147,7 +152,7 @@ class Model:
     def label(self, buf: np.ndarray, offs: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first word of each row, language of each word or -1 without a letter, foreign letters).
 
-        The last: each row's share of letters whose script no learnt language uses.
+        The last: each row's share of letters whose script no known language uses.
         """
         starts, ends, first = tk.word_spans(buf, offs)
         if not len(starts):
@@ -170,16 +175,52 @@ class Model:
         best = viterbi(scores, first, penalty)
         best[is_letter[ends] == is_letter[starts]] = -1
         foreign = np.zeros(len(buf) + 1, np.int64)
-        foreign[at + 1] = ~(self.uses.any(0)[kind] | (kind == 0))
+        foreign[at + 1] = ~(self.known[kind] | (kind == 0))
         foreign = np.cumsum(foreign)
         all_, odd = (c[offs[1:]] - c[offs[:-1]] for c in (is_letter, foreign))
         return starts, ends, first, best, odd / np.maximum(all_, 1)
 
 
-def learn_model(docs: DataFrame, rows: int = LEARN_ROWS) -> Model:
-    """Learn from text and non-null lang of the documents outside the held-out quarter."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    return Model.fit(learn.sample(known, ["text", "lang"], rows))
+def learn_model(docs: DataFrame, rows: int = LEARN_ROWS, held_out: bool = True) -> Model:
+    """Learn from text and non-null lang, by hash of doc_id; every language has rows in the sample.
+
+    ``held_out``: the held-out quarter is left out. Without it, only languages that are rare in the sample take rows from there.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    learnt = known.where(crc_mod("doc_id", 4) != 2)
+    common = learn.sample(learnt, ["text", "lang"], rows)
+    counts = Counter(common["lang"].to_pylist())
+    enough = [x for x, n in counts.items() if n >= LANGUAGE_ROWS]
+    rare = (learnt if held_out else known).where(~F.col("lang").isin(enough)) if enough else learnt if held_out else known
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rare.select("lang", "doc_id").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= LANGUAGE_ROWS).select("doc_id").distinct()
+    more = rare.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"]).toArrow()
+    seen = pa.chunked_array([common["doc_id"].combine_chunks()])
+    more = more.filter(pc.invert(pc.is_in(more["doc_id"], value_set=seen.combine_chunks())))
+    return Model.fit(pa.concat_tables([common, more.cast(common.schema)]).sort_by([("doc_id", "ascending"), ("lang", "ascending")]))
+
+
+def scripts_in_use(docs: DataFrame) -> np.ndarray:
+    """Which kinds of ``script_table`` any language writes, by all rows with a lang; all False without such rows."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(SCRIPTS) + 2
+        for batch in batches:
+            langs, number = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
+            letters = np.zeros((len(langs), width), np.int64)
+            for lo, hi, buf, offs in text_slices(batch):
+                if len(buf):
+                    at, cp = code_points(buf)
+                    row = np.searchsorted(offs, at, "right") - 1
+                    letters += np.bincount(number[lo:hi][row] * width + script_table()[cp], minlength=letters.size).reshape(letters.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(langs.repeat(width), pa.string()), pa.array(np.tile(np.arange(width, dtype=np.int32), len(langs))), pa.array(letters.ravel())], ["lang", "kind", "n"])
+
+    rows = bound_batches(docs).where("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sums = rows.mapInArrow(lean(kernel), "lang string, kind int, n long").where("kind > 0").groupBy("lang", "kind").agg(F.sum("n").alias("n"))
+    share = F.col("n") >= USES * F.sum("n").over(Window.partitionBy("lang"))
+    out = np.zeros(len(SCRIPTS) + 2, bool)
+    out[[r["kind"] for r in sums.where("n > 0").withColumn("_used", share).where("_used").select("kind").distinct().collect()]] = True
+    return out
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
@@ -226,9 +267,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """``docs`` (all columns) without those rejected; a null lang is filled in with the prediction.
 
-    Rejected: null, empty and letterless texts, and texts most of whose letters are of scripts that no learnt
-    language uses. One pass over the rows, without a shuffle.
+    Rejected: null, empty and letterless texts, and texts without a lang most of whose letters are of scripts that no
+    language of ``docs`` or of the model uses; if none uses any, no text goes by its script. Two passes over the rows,
+    the first for the scripts of the labelled ones; only its sums are shuffled.
     """
+    model = copy(model)
+    model.known = model.known | scripts_in_use(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +286,8 @@ def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY
                 part = batch.slice(lo, hi - lo)
                 lang = part.column(at).fill_null("")
                 guess = pa.array(np.array(m.langs, object)[top], lang.type)
+                clear = (foreign <= 0.5) | (not m.known.any()) | pc.is_valid(part.column(at)).to_numpy(zero_copy_only=False)
                 part = part.set_column(at, batch.schema.field(at), pc.if_else(pc.equal(lang, ""), pc.if_else(part.column(at).is_null(), guess, lang), lang))
-                yield part.filter(pa.array((total > 0) & (foreign <= 0.5)))
+                yield part.filter(pa.array((total > 0) & clear))
 
     return bound_batches(docs).mapInArrow(lean(kernel), docs.schema)
