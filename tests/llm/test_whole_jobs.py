@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import zlib
 
-from skein.llm import langid
+import numpy as np
+
+from skein.llm import langid, mixing
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -24,3 +26,24 @@ def test_rare_scripts_and_unlabelled_tables_stay(spark):
     assert {r.doc_id for r in out} == {r[0] for r in rows} - {950, 951}
     bare = spark.createDataFrame([(i, t, None) for i, t, _ in rows], SCHEMA)
     assert langid.keep_known_languages(bare, langid.learn_model(bare)).count() == len(rows) - 1
+
+
+def test_shares_follow_the_true_weights(spark):
+    for weights in ([1 / 3] + [2 / 57] * 19, [1 / k for k in range(1, 1501)], [0.7, 0.1, 0.2]):
+        exact = mixing.whole_numbers(weights)
+        w = np.array(weights) / sum(weights)
+        done = np.zeros(len(w))
+        for t, (i, j, slot) in enumerate(mixing.slots(exact, [10**9] * len(w))):
+            assert slot == t and j == done[i]
+            done[i] += 1
+            assert np.abs(done - w * (t + 1)).max() < 1 + 1e-6
+            if t == 12_000:
+                break
+    ended = list(mixing.slots([2, 1, 1, 0], [9, 1, 2, 2]))
+    assert len(ended) == 14 and all(t >= 2 * j and t < 2 * j + 2 for i, j, t in ended if i == 0) and ended[-2][0] == ended[-1][0] == 3
+    # a whole table, over many times 64 slots: one hot source of a third, 19 others
+    d = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "IF(id % 3 = 0, 'hot', concat('s', id % 19)) AS source")
+    out = mixing.mix(d, {"hot": 1 / 3, **{f"s{i}": 2 / 57 for i in range(19)}}, block=10).toPandas()
+    assert len(out) == 6000 and out["slot"].is_unique and out["slot"].notna().all()
+    hot = out[out["source"] == "hot"].sort_values("slot")
+    assert (np.abs(hot["slot"].to_numpy() - 3 * np.arange(len(hot))) <= 3).all()
