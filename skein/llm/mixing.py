@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Units (code points) of a block, slots of one period of the schedule, sources at most.
-BLOCK, PERIOD, MAX_SOURCES = 100_000, 4096, 2048
+#: Units (code points) of a block, slots of one period of a schedule that has periods.
+BLOCK, PERIOD = 100_000, 4096
 #: Documents of one source whose running sums a task makes at once, about.
 CHUNK_ROWS = 2000
 #: Rows of the schedule that the driver holds at once.
@@ -27,8 +27,8 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Whole slots of a period for each weight: largest remainders, at least one; they add up to ``period``."""
     if not weights:
         return {}
-    if len(weights) > min(MAX_SOURCES, period) or min(weights.values()) < 0:
-        raise ValueError(f"weights must be for at most {min(MAX_SOURCES, period)} sources and none below 0")
+    if len(weights) > period or min(weights.values()) < 0:
+        raise ValueError(f"weights must be for at most {period} sources, a slot each, and none below 0")
     total = sum(weights.values()) or 1.0
     free = period - len(weights)
     exact = {s: 1 + free * w / total for s, w in weights.items()}
@@ -123,15 +123,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     null or empty text has size 0; neither is dropped. Rows without a doc_id are. Only doc_id, source and text are read. A source with a third of
     all documents is summed in chunks of its hash order: sums per chunk, then running sums over chunks,
     then inside each chunk, so no task holds a source. A chunk has the slots of its blocks beside its sum.
-    The driver makes the schedule, one step a block.
+    The driver makes the schedule, one step a block, and holds names and sizes of the sources, of which any number may be.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("size"))
     rows = scratch.save(rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("size").alias("size")), "rows")
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("k")).limit(MAX_SOURCES + 1).toArrow().sort_by("source").combine_chunks()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("k")).toArrow().sort_by("source").combine_chunks()
     names, n, most = found["source"], found["n"].to_numpy(), max(found["k"].to_numpy(), default=1)
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     given = [float(weights.get(s, 0.0)) for s in names.to_pylist()] if weights is not None else list(default_weights(dict(zip(names.to_pylist(), n.tolist(), strict=True))).values())

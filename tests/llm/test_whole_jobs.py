@@ -47,3 +47,10 @@ def test_shares_follow_the_true_weights(spark):
     assert len(out) == 6000 and out["slot"].is_unique and out["slot"].notna().all()
     hot = out[out["source"] == "hot"].sort_values("slot")
     assert (np.abs(hot["slot"].to_numpy() - 3 * np.arange(len(hot))) <= 3).all()
+
+
+def test_any_number_of_sources(spark):
+    d = spark.range(5000).selectExpr("id AS doc_id", "repeat('x', 10 + cast(id % 7 AS int)) AS text", "concat('domain', id % 2500) AS source")
+    out = mixing.mix(d, block=10).toPandas()
+    assert sorted(out["doc_id"]) == list(range(5000)) and out["source"].nunique() == 2500
+    assert out["slot"].notna().all() and out.groupby("slot")["source"].nunique().max() == 1
