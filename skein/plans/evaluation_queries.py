@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -123,15 +124,25 @@ def two_stage(spark, sf_dir):
     return models.two_stage(test.select("id", "features"), detector, family, ["id"])
 
 
+def _shared(spark):
+    """The folder of ``spark.checkpoint.dir``; a local one only in local mode when unset."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="skein-")
+
+
 def stream_transitions(spark, sf_dir):
     """The event files as a stream: transitions kept in state, then counted."""
     from skein.streaming import monitors
 
-    name = f"transitions_{uuid.uuid4().hex[:8]}"
+    at = f"{_shared(spark)}/transitions-{uuid.uuid4().hex[:12]}"
     s = monitors.transitions(monitors.event_stream(spark, sf_dir, glob="events.parquet"))
-    q = s.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    return spark.table(name).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    q = s.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()  # without a limit: all events are in, or the stream's error is raised
+    return spark.read.schema(s.schema).parquet(f"{at}/rows").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
 
 
 _R = """WITH r AS (SELECT doc_id AS id, quality AS label, CASE WHEN length(text) > 900 THEN 1 ELSE 0 END AS pred, length(text)::DOUBLE AS score, CAST(doc_id % 10 AS INT) AS fold FROM labels JOIN documents USING (doc_id)),

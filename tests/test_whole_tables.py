@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql.streaming.query import StreamingQuery
 
 from skein.operators import graph
-from skein.plans import graph_queries
+from skein.plans import evaluation_queries, graph_queries
 
 PAIRS = {("click", "purchase"), ("error", "purchase"), ("click", "error")}
 
@@ -29,3 +30,11 @@ def test_tree_flows_of_every_user(spark, sf):
     got = graph_queries.tree_flow_counts(spark, sf).collect()
     assert {(r.app, r.source, r.sink, r.rule) for r in got} == {(u, a, b, rule) for u in users for a, b in PAIRS for rule in ("instances", "callers")}
     assert len(got) == len(users) * len(PAIRS) * 2
+
+
+def test_stream_is_waited_for_to_its_end(spark, sf, monkeypatch):
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)  # any limit is too short
+    users = pd.read_parquet(f"{sf}/events.parquet", columns=["user_id"])["user_id"]
+    counts = evaluation_queries.stream_transitions(spark, sf)
+    assert counts.agg({"cnt": "sum"}).first()[0] == len(users) - users.nunique()
