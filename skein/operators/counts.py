@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.order import global_rank
+
 
 def callees_by_caller(edges: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(group..., caller, callees): callees in order, repeats kept."""
@@ -57,9 +59,12 @@ def prefixed_constants(df: DataFrame, group: Sequence[str], value: str, prefix:
     return df.where(F.col(value).startswith(prefix)).select(*group, value).distinct()
 
 
-def feature_names(df: DataFrame, value: str) -> list[str]:
-    """Sorted distinct names, for use as pivot values: a feature schema, so bounded by the number of columns."""
-    return [r[0] for r in df.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value).limit(100_000).collect()]
+def feature_names(df: DataFrame, value: str, most: int = 100_000) -> list[str]:
+    """Sorted distinct names, for use as pivot values; more than ``most``, too many for columns, are an error and none is dropped."""
+    names = [r[0] for r in df.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} names of {value!r}: use sparse rows, or raise the limit")
+    return names
 
 
 def distinct_lines(df: DataFrame, group: Sequence[str], cls: str, line: str, user: Column) -> DataFrame:
@@ -83,12 +88,7 @@ def mean_and_failed(runs: DataFrame, attempted: DataFrame, key: str, seconds: st
 
 def vocabulary(counts: DataFrame, feature: str = "feature") -> DataFrame:
     """(feature, index) in sorted order from 0: numbered by ranges, so no task sorts all names."""
-    names = counts.select(feature).distinct()
-    ranged = names.repartitionByRange(feature).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(feature)
-    inner = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(feature)))
-    sizes = inner.groupBy("_part").agg(F.max("_n").alias("_size"))
-    base = sizes.select("_part", (F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
-    return inner.join(F.broadcast(base), "_part").select(feature, (F.col("_base") + F.col("_n") - 1).cast("int").alias("index"))
+    return global_rank(counts.select(feature).distinct(), [F.col(feature)], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def sparse_rows(counts: DataFrame, group: Sequence[str], vocab: DataFrame, feature: str = "feature", value: str = "cnt") -> DataFrame:

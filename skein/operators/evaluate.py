@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.order import running_sums
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
+#: Rows of a block of training and of test rows, in the nearest-neighbour search.
+TRAIN_BLOCK, TEST_BLOCK = 4096, 512
 
-def nearest(test: DataFrame, train: DataFrame, k: int, key: str = "id", features: str = "features", label: str = "label", blocks: int = 8, digits: int | None = None) -> DataFrame:
+
+def _packed(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` rows, one row each, and their number, which grows with the rows."""
+    blocks = max(1, -(-df.count() // size))
+    dealt = df.withColumn(f"{name}_block", F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks)))
+    return dealt.groupBy(f"{name}_block").agg(F.collect_list(F.struct(*df.columns)).alias(name)), blocks
+
+
+def _nearest(k: int, digits: int | None):
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tests, train in zip(batch["q"], batch["t"], strict=True):
+                ids, labels = np.array([r["other"] for r in train]), np.array([r["label"] for r in train])
+                x = np.array([r["v"] for r in train], float)
+                out = []
+                for q in tests:
+                    d = np.sqrt(((x - np.asarray(q["v"], float)) ** 2).sum(1))
+                    d = d if digits is None else d.round(digits)
+                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    near = near[np.lexsort((ids[near], d[near]))[:k]]
+                    out.append(pd.DataFrame({"id": q["id"], "other": ids[near], "distance": d[near], "label": labels[near]}))
+                yield pd.concat(out)
+
+    return kernel
+
+
+def nearest(test: DataFrame, train: DataFrame, k: int, key: str = "id", features: str = "features", label: str = "label", digits: int | None = None) -> DataFrame:
     """(id, rank, other, distance, label): each test row's k nearest training rows, ties by id.
 
-    The test set meets the training set in blocks: each of a few training blocks keeps k rows a query, and
-    the best of these are merged, so no task holds all distances.
+    Both sides are cut into blocks whose number grows with their rows; each block of tests meets each block of training
+    rows by an equi join on the latter, keeps k rows a test there, and the best of these are ranked with a limit before the shuffle.
     """
-    q = test.select(F.col(key).alias("id"), F.col(features).alias("_q"))
-    t = train.select(F.col(key).alias("other"), F.col(features).alias("_t"), F.col(label).alias("label"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    d = F.sqrt(squared_distance(F.col("_q"), F.col("_t")))
-    pairs = q.join(t, "_b").select("id", "_b", "other", "label", (F.round(d, digits) if digits is not None else d).alias("distance"))
-    best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "other"))).where(F.col("rank") <= k)
-    return best(best(pairs, "id", "_b").drop("rank"), "id").select("id", "rank", "other", "distance", "label")
+    kind = dict(train.dtypes)
+    q, _ = _packed(test.select(F.col(key).alias("id"), F.col(features).alias("v")), "q", TEST_BLOCK)
+    t, n = _packed(train.select(F.col(key).alias("other"), F.col(features).alias("v"), F.col(label).alias("label")), "t", TRAIN_BLOCK)
+    met = q.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).repartition(F.col("q_block"), F.col("t_block")).join(t, "t_block")
+    found = met.select("q", "t").mapInPandas(_nearest(k, digits), f"id {dict(test.dtypes)[key]}, other {kind[key]}, distance double, label {kind[label]}")
+    best = Window.partitionBy("id").orderBy("distance", "other")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "other", "distance", "label")
 
 
 def vote(neighbour_rows: DataFrame) -> DataFrame:
@@ -57,41 +86,45 @@ def weighted(per_class_rows: DataFrame) -> DataFrame:
     return per_class_rows.agg(*[(F.sum(F.col(c) * F.col("support")) / s).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _score_steps(scored: DataFrame, label: str, score: str, positive: object) -> DataFrame:
-    """Cumulative positives and negatives at each distinct score, the highest first (ties together)."""
+def _curve(scored: DataFrame, label: str, score: str, positive: object) -> DataFrame:
+    """(score, tp, fp, tp_all, fp_all, p, n): positives and negatives down to each distinct score, the highest first (ties together), of all, and at it.
+
+    Rows are counted per distinct score, then summed along ranges of scores, so real-valued scores of any number do.
+    """
     y = F.col(label) == positive
-    steps = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("score", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"))
+    steps = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
+    run = running_sums(steps, [F.desc("score")], {"p": "tp", "n": "fp"})
+    return run.select("score", "tp", "fp", "tp_all", "fp_all", "p", "n")
 
 
-def roc_points(scored: DataFrame, label: str = "label", score: str = "score", positive: object = 1) -> DataFrame:
-    """(score, tpr, fpr) per threshold; scores are first counted per distinct value, so the ordered part is small."""
-    s = _score_steps(scored, label, score, positive)
-    total = s.agg(F.max("tp").alias("_P"), F.max("fp").alias("_N"))
-    return s.crossJoin(F.broadcast(total)).select("score", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")), F.lit(0.0)).alias("tpr"), F.coalesce(F.try_divide(F.col("fp").cast("double"), F.col("_N").cast("double")), F.lit(0.0)).alias("fpr"))
+def _share(a: Column, b: Column, empty: float = 0.0) -> Column:
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty))
 
 
-def area(points: DataFrame, x: str, y: str, order: Sequence[Column], start: tuple[float, float]) -> DataFrame:
-    """One row ``auc``: trapezoids over ordered points from ``start``."""
-    w = Window.orderBy(*order)
-    return points.select((F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(start[0]))).alias("_w"), ((F.col(y) + F.coalesce(F.lag(y).over(w), F.lit(start[1]))) / 2).alias("_h")).agg(F.sum(F.col("_w") * F.col("_h")).alias("auc"))
+def roc_points(scored: DataFrame, label: str = "label", score: str = "score", positive: object = 1) -> DataFrame:
+    """(score, tpr, fpr) per threshold."""
+    c = _curve(scored, label, score, positive)
+    return c.select("score", _share(F.col("tp"), F.col("tp_all")).alias("tpr"), _share(F.col("fp"), F.col("fp_all")).alias("fpr"))
 
 
-def roc_auc(scored: DataFrame, **names) -> DataFrame:
-    return area(roc_points(scored, **names), "fpr", "tpr", [F.desc("score")], (0.0, 0.0))
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", positive: object = 1) -> DataFrame:
+    """One row ``auc``: trapezoids between each point and the one before it, which its own counts give; from (0, 0)."""
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    wide, high = _share(n, F.col("fp_all")), (_share(tp, F.col("tp_all")) + _share(tp - p, F.col("tp_all"))) / 2
+    return _curve(scored, label, score, positive).agg(F.sum(wide * high).alias("auc"))
 
 
 def pr_points(scored: DataFrame, label: str = "label", score: str = "score", positive: object = 1) -> DataFrame:
     """(score, recall, precision) per threshold of scores pooled over folds."""
-    s = _score_steps(scored, label, score, positive)
-    total = s.agg(F.max("tp").alias("_P"))
-    return s.crossJoin(F.broadcast(total)).select("score", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")), F.lit(0.0)).alias("recall"), (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    c = _curve(scored, label, score, positive)
+    return c.select("score", _share(F.col("tp"), F.col("tp_all")).alias("recall"), _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
-def pr_auc(scored: DataFrame, **names) -> DataFrame:
-    """Trapezoids from recall 0 at precision 1."""
-    return area(pr_points(scored, **names), "recall", "precision", [F.desc("score")], (0.0, 1.0))
+def pr_auc(scored: DataFrame, label: str = "label", score: str = "score", positive: object = 1) -> DataFrame:
+    """One row ``auc``: trapezoids from recall 0 at precision 1."""
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    high = (_share(tp, tp + fp) + _share(tp - p, tp - p + fp - n, 1.0)) / 2
+    return _curve(scored, label, score, positive).agg(F.sum(_share(p, F.col("tp_all")) * high).alias("auc"))
 
 
 def micro_averaged(scored: DataFrame, classes: Sequence[object], label: str = "label", scores: str = "scores") -> DataFrame:
@@ -109,7 +142,7 @@ def fold_summary(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
 def error_shares(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """(label, errors, share): each label's part in all errors."""
     e = scored.where(F.col(label) != F.col(pred)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("errors"))
-    return e.withColumn("share", F.col("errors").cast("double") / F.sum("errors").over(Window.partitionBy(F.lit(0))))
+    return e.crossJoin(F.broadcast(e.agg(F.sum("errors").alias("_all")))).withColumn("share", F.col("errors").cast("double") / F.col("_all")).drop("_all")  # one row
 
 
 def misclassified(scored: DataFrame, label: str = "label", pred: str = "pred", features: str | None = None) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.shared import saved
+
 
 def simple_edges(calls: DataFrame, group: Sequence[str] = ("app",), src: str = "caller", dst: str = "callee") -> DataFrame:
     return calls.select(*group, F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
@@ -33,9 +35,15 @@ def degree_centrality(edges: DataFrame, group: Sequence[str] = ("app",), digits:
     """(group..., node, centrality): in plus out degree over n - 1; 1 for a graph of one node."""
     ends = edges.select(*group, F.col("src").alias("node")).unionAll(edges.select(*group, F.col("dst").alias("node")))
     deg = ends.groupBy(*group, "node").agg(F.count("*").alias("_d"))
-    n = F.count("*").over(Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
-    c = F.when(n > 1, F.col("_d").cast("double") / (n - 1)).otherwise(F.lit(1.0))
-    return deg.withColumn("centrality", F.round(c, digits) if digits is not None else c).drop("_d")
+    c = F.when(F.col("_n") > 1, F.col("_d").cast("double") / (F.col("_n") - 1)).otherwise(F.lit(1.0))
+    return _with_count(deg, group).select(*group, "node", (F.round(c, digits) if digits is not None else c).alias("centrality"))
+
+
+def _with_count(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_n``, the number of rows of their graph: counted once per graph, and joined."""
+    if not group:
+        return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row
+    return rows.join(rows.groupBy(*group).agg(F.count("*").alias("_n")), list(group))
 
 
 def neighbours(edges: DataFrame, name: str, direction: str = "callees") -> DataFrame:
@@ -43,45 +51,26 @@ def neighbours(edges: DataFrame, name: str, direction: str = "callees") -> DataF
     return edges.where(F.lower("src" if direction == "callees" else "dst") == name.lower())
 
 
-def distances(edges: DataFrame, starts: DataFrame, group: Sequence[str] = (), max_rounds: int = 1000, save=None) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, group: Sequence[str] = (), save=saved) -> DataFrame:
     """(group..., start, node, d): breadth-first distances from each start, one join a round until no new pairs.
 
-    ``save(df, name)`` cuts the lineage between rounds (by default ``checkpoint``); a round joins the new
-    pairs only, and those already known fall to an anti join.
+    ``save(df, name)`` cuts the lineage between rounds (by default a table in the shared folder); a round joins the new
+    pairs only, and those already known fall to an anti join. A graph of n nodes ends in n rounds.
     """
-    spark = edges.sparkSession
-    if save is None:
-        save = lambda df, name: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else _with_checkpoint_dir(df)
-    keys = [*group, "start", "node"]
-    known = save(starts.select(*group, F.col("node").alias("start"), "node").distinct().withColumn("d", F.lit(0)), "d0")
-    front = known
-    for k in range(1, max_rounds + 1):
+    keys, k = [*group, "start", "node"], 0
+    front = known = save(starts.select(*group, F.col("node").alias("start"), "node").distinct().withColumn("d", F.lit(0)), "d0")
+    while not front.isEmpty():
+        k += 1
         step = front.join(edges, (front["node"] == edges["src"]) if not group else [*[front[g] == edges[g] for g in group], front["node"] == edges["src"]])
         new = step.select(*[front[g] for g in group], front["start"], edges["dst"].alias("node")).distinct().join(known, keys, "left_anti").withColumn("d", F.lit(k))
         front = save(new, f"d{k}")
-        if front.isEmpty():
-            return known
         known = known.unionByName(front)
-    raise RuntimeError(f"distances did not end in {max_rounds} rounds")
-
-
-def _with_checkpoint_dir(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        path = tempfile.mkdtemp(prefix="skein-graph-")
-    sc.setCheckpointDir(path)
-    return df.checkpoint()
+    return known
 
 
 def closeness(distance_rows: DataFrame, node_rows: DataFrame, group: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """(group..., node, closeness): over incoming distances, scaled by the reached share of the graph."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    n = node_rows.select(*group, "node", F.count("*").over(w).alias("_n"))
+    n = _with_count(node_rows.select(*group, "node"), group)
     s = distance_rows.where("start <> node").groupBy(*group, "node").agg(F.sum("d").alias("_s"), F.count("*").alias("_r"))
     c = F.when(F.col("_s") > 0, F.col("_r").cast("double") / F.col("_s") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
     out = n.join(s, [*group, "node"], "left").withColumn("closeness", F.coalesce(c, F.lit(0.0)))

@@ -69,26 +69,32 @@ def compare_tables(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str])
     return left.join(right, key).select(key, F.explode(F.filter(pairs, lambda p: ~p["a"].eqNullSafe(p["b"]))).alias("d")).select(key, "d.column", "d.a", "d.b")
 
 
-#: Words of a phrase by which substring matches are looked for.
+#: Words of a phrase by which substring matches are looked for, at most.
 PROBE_WORDS = 3
 
 
-def contains_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, probe_words: int = PROBE_WORDS) -> DataFrame:
-    """Pairs in which the text contains the phrase, by an equi join on word runs and an exact test.
+def contains_join(texts: DataFrame, text: str, key: str, phrases: DataFrame, phrase: str, probe_words: int = PROBE_WORDS) -> DataFrame:
+    """(texts..., phrases...) pairs in which the text contains the phrase, by an equi join on word runs and an exact test.
 
-    A phrase of at least ``probe_words`` + 2 words has inner words that the text must hold as whole words
-    too: its second to ``probe_words`` + 1st name the bucket. Shorter phrases, of which there are few
-    in a reference list, are tested against all texts.
+    The inner words of a phrase are whole words of a text that holds it; its second to ``probe_words`` + 1st, or as many as there are,
+    name its bucket. Only keys and hashes of runs are exploded, texts come back for the candidates. A phrase of one or two words has
+    no inner word and is tested against all texts; where there are such, this is one more pass. ``key`` names a text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    p = phrases.withColumn("_w", words(F.col(phrase)))
-    long = p.where(F.size("_w") >= probe_words + 2).withColumn("_probe", F.xxhash64(F.array_join(F.slice("_w", 2, probe_words), " "))).drop("_w")
-    short = p.where(F.size("_w") < probe_words + 2).drop("_w")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - probe_words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, probe_words), " ")))
-    probes = texts.withColumn("_w", words(F.col(text))).withColumn("_probe", F.explode(F.array_distinct(runs))).drop("_w")
-    hits = probes.join(long, "_probe").drop("_probe").where(F.contains(F.col(text), F.col(phrase)))
-    rest = texts.join(short, F.contains(F.col(text), F.col(phrase)))
-    return hits.unionByName(rest)
+    p = phrases.withColumn("_w", words(F.col(phrase))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(probe_words)))
+    p = p.withColumn("_probe", F.xxhash64(F.array_join(F.expr("slice(_w, 2, greatest(_n, 0))"), " "))).drop("_w")
+    sizes = [r["_n"] for r in p.select("_n").distinct().collect()]  # at most probe_words + 2 numbers
+    w = words(F.col(text))
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+    out = None
+    for n in sorted(s for s in sizes if s > 0):
+        found = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(runs(n))).alias("_probe")).join(p.where(F.col("_n") == n), "_probe").drop("_probe", "_n")
+        hits = texts.join(found, F.col(key) == F.col("_key")).drop("_key").where(F.contains(F.col(text), F.col(phrase)))
+        out = hits if out is None else out.unionByName(hits)
+    if out is None or min(sizes) <= 0:
+        rest = texts.join(p.where("_n <= 0").drop("_probe", "_n"), F.contains(F.col(text), F.col(phrase)))
+        out = rest if out is None else out.unionByName(rest)
+    return out
 
 
 def family_folders(folders: DataFrame, table: DataFrame, families: DataFrame, ignored: Sequence[str], name: str = "name") -> DataFrame:
@@ -148,3 +154,27 @@ def taint_categories(flows: DataFrame, sources: DataFrame, sinks: DataFrame) ->
     out = flows.join(sources.select(F.col("signature").alias("source"), F.col("category").alias("_s")), "source", "left").join(sinks.select(F.col("signature").alias("sink"), F.col("category").alias("_k")), "sink", "left")
     named = lambda c, sig, default: F.coalesce(F.col(c), F.when(F.contains(F.col(sig), F.lit("android.net.uri")), "CONTENT_RESOLVER"), F.lit(default))
     return out.withColumn("source_category", named("_s", "source", "NO_SENSITIVE_SOURCE")).withColumn("sink_category", named("_k", "sink", "NO_SENSITIVE_SINK")).drop("_s", "_k")
+
+
+def with_permissions(calls: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """Calls with each permission that the mapping (key, permission) gives them; calls that need none go."""
+    return calls.join(mapping.select(key, "permission").distinct(), key)
+
+
+def united_sets(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The union of array columns over the rows of a group: sorted distinct elements; nulls count as empty.
+
+    Elements are made distinct before they meet, so a group of any number of rows keeps its elements only.
+    """
+    out = None
+    for c in columns:
+        part = df.select(*group, F.explode_outer(c).alias("_x")).groupBy(*group).agg(F.array_sort(F.collect_set("_x")).alias(c))
+        out = part if out is None else out.join(part, list(group))
+    return out
+
+
+def flattened(nested: Column, depth: int) -> Column:
+    """An array of arrays, ``depth`` levels deep, as one array in order; null parts go."""
+    for _ in range(depth - 1):
+        nested = F.flatten(F.filter(nested, lambda x: x.isNotNull()))
+    return nested

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import percentage
+from skein.operators.order import global_rank
 
 LAYERS = ["SDK", "3rdLib", "UserCode"]
 COMPOSED = ["UserCode", "3rdLib", "SDK"]
@@ -132,3 +133,20 @@ def linked_pairs(sources: DataFrame, sinks: DataFrame, flows: DataFrame, group:
     a = sources.join(hit.groupBy(*group, "source").agg(F.min("sink").alias("first_sink")), [*group, "source"])
     b = sinks.join(hit.groupBy(*group, "sink").agg(F.min("source").alias("first_source")), [*group, "sink"])
     return a, b
+
+
+def ranked_nodes(nodes: DataFrame, by: str, group: Sequence[str] = (), node: str = "node") -> DataFrame:
+    """``nodes`` with ``rank`` from 1 by falling value of ``by`` (degree or instances), ties by name, within the group."""
+    if group:
+        return nodes.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(by), node)).cast("long"))
+    return global_rank(nodes, [F.desc(by), F.asc(node)], "rank").withColumn("rank", F.col("rank") + 1)
+
+
+def by_label(df: DataFrame, label: str = "class") -> DataFrame:
+    """Rows in the order of their class label, within it by the other columns."""
+    return df.orderBy(label, *[c for c in df.columns if c != label])
+
+
+def by_size(files: DataFrame) -> DataFrame:
+    """Files from the smallest, ties by path: the order in which work is handed out."""
+    return files.orderBy("length", "path")

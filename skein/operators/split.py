@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.order import global_rank
+
 
 def date_pivot(df: DataFrame, label: str, date: str, tie: str, numerator: int = 7, denominator: int = 10) -> DataFrame:
     """Adds ``pivot`` and ``part``: per label the date at place floor(n * 7 / 10) of its sorted dates; later dates are ``test``.
@@ -43,16 +45,12 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def k_folds(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
-    """Adds ``fold``: contiguous parts of the ordered rows, the first n mod k of them one larger.
-
-    Needs a global rank: for labelled tables. ``hash_folds`` is the form for any size.
-    """
-    w = Window.orderBy(*order)
-    n = df.count()
-    small, large = n // k, n % k
-    r = F.row_number().over(w) - 1
-    fold = F.when(r < large * (small + 1), F.floor(r / F.lit(small + 1))).otherwise(large + F.floor((r - large * (small + 1)) / F.lit(max(small, 1))))
-    return df.withColumn("fold", fold.cast("int"))
+    """Adds ``fold``: contiguous parts of the ordered rows, the first n mod k of them one larger. ``hash_folds`` needs no order."""
+    ranked = global_rank(df, [F.col(c) for c in order], "_r", "_n")
+    small, large = F.expr(f"_n div {k}"), F.expr(f"_n % {k}")
+    low = F.floor(F.col("_r") / (small + 1))
+    high = large + F.floor((F.col("_r") - large * (small + 1)) / F.greatest(small, F.lit(1)))
+    return ranked.withColumn("fold", F.when(F.col("_r") < large * (small + 1), low).otherwise(high).cast("int")).drop("_r", "_n")
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 10, seed: int = 0) -> DataFrame:

@@ -2,6 +2,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.shared import shared
+
+__all__ = ["read", "shared"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -117,7 +117,7 @@ def table_compare(spark, sf_dir):
 def substring_join(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return joins.contains_join(d, "text", b, "phrase").select("doc_id", "item_id")
+    return joins.contains_join(d, "text", "doc_id", b, "phrase").select("doc_id", "item_id")
 
 
 def set_upsert(spark, sf_dir):
