@@ -19,14 +19,28 @@ MAX_DEPTH = 30
 FORESTS = {"markov_family": (8, 51), "markov_package": (64, 101), "centrality": (8, 100), "traces": (30, 128)}
 
 
-def binary_bag(tokens: str = "tokens", out: str = "features", size: int = 1 << 20) -> CountVectorizer:
-    """Token presence; the vocabulary is that of the rows fitted on."""
-    return CountVectorizer(inputCol=tokens, outputCol=out, binary=True, minDF=1, vocabSize=size)
+def binary_bag(tokens: str = "tokens", out: str = "features") -> CountVectorizer:
+    """Token presence; the vocabulary is all tokens of the rows fitted on."""
+    return CountVectorizer(inputCol=tokens, outputCol=out, binary=True, minDF=1, vocabSize=2**31 - 1)
 
 
-def linear_svm(label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 2000) -> LinearSVC:
-    """Hinge loss with L2; ``c`` weighs the loss as 1 / (c n) would the penalty."""
-    return LinearSVC(labelCol=label, featuresCol=features, maxIter=max_iter, regParam=1e-3 / c, standardization=False)
+def linear_svm(label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 2000, rows: int | None = None) -> LinearSVC:
+    """Hinge loss with L2. ``c`` weighs the summed loss against the penalty, so for ``rows`` rows, whose mean loss is taken, the penalty is 1 / (c rows).
+
+    Without ``rows`` use ``SummedSVC``, which counts the rows that it is fitted on.
+    """
+    return LinearSVC(labelCol=label, featuresCol=features, maxIter=max_iter, regParam=1 / (c * (rows or 1)), standardization=False)
+
+
+class SummedSVC(Estimator):
+    """``linear_svm`` whose penalty goes by the number of rows it is fitted on."""
+
+    def __init__(self, label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 2000):
+        super().__init__()
+        self.settings = (label, features, c, max_iter)
+
+    def _fit(self, df: DataFrame) -> Model:
+        return linear_svm(*self.settings, rows=max(1, df.count())).fit(df)
 
 
 def multiclass_svm(label: str = "label", features: str = "features", **kw) -> OneVsRest:
@@ -43,7 +57,7 @@ def tree(label: str = "label", features: str = "features", depth: int = MAX_DEPT
 
 def classifier(name: str, **kw) -> Estimator:
     """By selector: ``svm``, ``forest``, ``tree`` (also ``j48``), ``multisvm``."""
-    return {"svm": linear_svm, "forest": forest, "tree": tree, "j48": tree, "multisvm": multiclass_svm}[name](**kw)
+    return {"svm": SummedSVC, "forest": forest, "tree": tree, "j48": tree, "multisvm": multiclass_svm}[name](**kw)
 
 
 def with_components(k: int = 10, features: str = "features", out: str = "components") -> list[Estimator]:

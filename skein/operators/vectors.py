@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +60,9 @@ def to_vector(df: DataFrame, column: str = "features") -> DataFrame:
 
 
 def entries_to_vector(df: DataFrame, size: int, column: str = "entries", name: str = "features") -> DataFrame:
-    """Sparse ML vectors of (index, value) entries."""
-    make = F.udf(lambda e: SparseVector(size, [x["index"] for x in e], [x["value"] for x in e]), VectorUDT())
-    return df.withColumn(name, make(column))
+    """ML vectors of ``size`` from (index, value) entries, 0 where there is none."""
+    at = F.map_from_entries(F.transform(F.col(column), lambda e: F.struct(e["index"].cast("int").alias("i"), e["value"].cast("double").alias("v"))))
+    return df.withColumn(name, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0)))))
 
 
 def drop_id_index_label(df: DataFrame, key: str, label: str):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from skein.operators import evaluate, models, split, vectors
 
-from ._tables import read
+from ._tables import read, shared
 
 
 def _points(spark, sf_dir):
@@ -86,22 +86,34 @@ def misclassified_rows(spark, sf_dir):
 
 def _labelled_text(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), "\\s+").alias("tokens"))
-    lab = read(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label"), "tokens")
-    return split.hold_outs(lab, "id", 1).drop("run")
+    return read(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label"), "tokens")
 
 
 def bow_svm(spark, sf_dir):
-    p = models.hold_out(_labelled_text(spark, sf_dir), [models.binary_bag(), models.linear_svm(max_iter=20)])
-    return evaluate.confusion(p.select(F.lit(0).alias("fold"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred")))
+    """Ten hold-outs, each with a vocabulary of its own training rows."""
+    runs, out = split.hold_outs(_labelled_text(spark, sf_dir), "id"), None
+    for run in range(10):  # one model per hold-out
+        p = models.hold_out(runs.where(F.col("run") == run), [models.binary_bag(), models.SummedSVC()])
+        p = p.select(F.lit(run).alias("fold"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+        out = p if out is None else out.unionByName(p)
+    return evaluate.confusion(out)
+
+
+def binary_bow_vocab(spark, sf_dir):
+    """The vocabulary is that of the training rows (even ids): known and unknown distinct tokens of each test row."""
+    t = _labelled_text(spark, sf_dir)
+    bag = models.binary_bag().fit(t.where("id % 2 = 0"))
+    seen = bag.transform(t.where("id % 2 = 1"))
+    known = F.size(F.filter(vector_to_array("features"), lambda x: x > 0))
+    return seen.select("id", known.cast("long").alias("known"), (F.size(F.array_distinct("tokens")) - known).cast("long").alias("unknown"), F.lit(len(bag.vocabulary)).cast("long").alias("vocabulary"))
 
 
 def _vectors(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("double")).withColumn("fold", F.col("fold") % 3)
-    return vectors.to_vector(p)
+    return vectors.to_vector(_points(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("double")))
 
 
 def rf_cv(spark, sf_dir):
-    return evaluate.confusion(models.cross_validate(_vectors(spark, sf_dir), [models.forest(6, 10)], 3))
+    return evaluate.confusion(models.cross_validate(_vectors(spark, sf_dir), [models.forest(*models.FORESTS["centrality"])], 10))
 
 
 def pca_rf(spark, sf_dir):
@@ -109,36 +121,26 @@ def pca_rf(spark, sf_dir):
 
     v = _vectors(spark, sf_dir)
     c = Pipeline(stages=models.with_components(10)).fit(v).transform(v)
-    return evaluate.confusion(models.cross_validate(c, [models.forest(6, 10, features="components")], 3))
+    return evaluate.confusion(models.cross_validate(c, [models.forest(*models.FORESTS["markov_family"], features="components")], 10))
 
 
 def l1_svm_cv(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("double")).withColumn("fold", F.col("fold") % 3)
-    return evaluate.confusion(models.l1_svm_folds(p, 3, c=1.0))
+    p = _points(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("double"))
+    return evaluate.confusion(models.l1_svm_folds(p, 10, c=1.0))
 
 
 def two_stage(spark, sf_dir):
     v = _vectors(spark, sf_dir).join(_points(spark, sf_dir).select("id", F.col("label").cast("double").alias("family_label")), "id")
     train, test = v.where("fold > 0"), v.where("fold = 0")
-    detector, family = models.forest(6, 10).fit(train), models.forest(6, 10, label="family_label").fit(train.where("label = 1"))
+    detector, family = models.forest(*models.FORESTS["centrality"]).fit(train), models.forest(*models.FORESTS["markov_family"], label="family_label").fit(train.where("label = 1"))
     return models.two_stage(test.select("id", "features"), detector, family, ["id"])
 
 
-def _shared(spark):
-    """The folder of ``spark.checkpoint.dir``; a local one only in local mode when unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="skein-")
-
-
 def stream_transitions(spark, sf_dir):
     """The event files as a stream: transitions kept in state, then counted."""
     from skein.streaming import monitors
 
-    at = f"{_shared(spark)}/transitions-{uuid.uuid4().hex[:12]}"
+    at = f"{shared(spark)}/transitions-{uuid.uuid4().hex[:12]}"
     s = monitors.transitions(monitors.event_stream(spark, sf_dir, glob="events.parquet"))
     q = s.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()  # without a limit: all events are in, or the stream's error is raised
@@ -160,7 +162,7 @@ d AS (SELECT q.id, t.id AS other, t.label, round(sqrt(list_sum(list_transform(li
 n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, other) AS INT) AS rank, other, distance, label FROM d)
 """
 _ROUND = ", ".join(f'round("{x}", 6) AS "{x}"' for x in RATES)
-QUERIES = {f.__name__: f for f in (knn1, knn3, kfold_confusion, fold_mean_sem, per_class_prf, weighted_prf, roc_points, roc_auc, pr_auc, micro_roc, share_of_errors, misclassified_rows, bow_svm, rf_cv, pca_rf, l1_svm_cv, two_stage, stream_transitions)}
+QUERIES = {f.__name__: f for f in (knn1, knn3, kfold_confusion, fold_mean_sem, per_class_prf, weighted_prf, roc_points, roc_auc, pr_auc, micro_roc, share_of_errors, misclassified_rows, bow_svm, binary_bow_vocab, rf_cv, pca_rf, l1_svm_cv, two_stage, stream_transitions)}
 ORACLES = {
     "knn1": _KNN + "SELECT * FROM n WHERE rank = 1",
     "knn3": _KNN + ", v AS (SELECT id, label, count(*) AS c FROM n WHERE rank <= 3 GROUP BY 1, 2), w AS (SELECT id, label AS pred, row_number() OVER (PARTITION BY id ORDER BY c DESC, label) AS r FROM v) SELECT w.id, pred, e.label FROM w JOIN e USING (id) WHERE r = 1",
@@ -175,5 +177,7 @@ ORACLES = {
 t AS (SELECT s, sum(a) OVER (ORDER BY s DESC) / sum(a) OVER ()::DOUBLE AS tpr, sum(b) OVER (ORDER BY s DESC) / sum(b) OVER ()::DOUBLE AS fpr FROM g) SELECT round(sum((fpr - x) * (tpr + y) / 2), 6) AS auc FROM (SELECT fpr, tpr, coalesce(lag(fpr) OVER (ORDER BY s DESC), 0) AS x, coalesce(lag(tpr) OVER (ORDER BY s DESC), 0) AS y FROM t)""",
     "share_of_errors": _R + "SELECT label, count(*) AS errors, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM r WHERE label <> pred GROUP BY 1",
     "misclassified_rows": _R + "SELECT id, label, pred FROM r WHERE label <> pred",
+    "binary_bow_vocab": r"""WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM labels JOIN documents USING (doc_id)), v AS (SELECT DISTINCT token FROM t WHERE id % 2 = 0)
+SELECT id, count(v.token) AS known, count(*) - count(v.token) AS unknown, (SELECT count(*) FROM v) AS vocabulary FROM t LEFT JOIN v USING (token) WHERE id % 2 = 1 GROUP BY 1""",
     "stream_transitions": "SELECT src, dst, count(*) AS cnt FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY 1, 2",
 }

@@ -6,6 +6,7 @@ with windows over (path, line_no); files are split only between files there, as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -168,13 +169,17 @@ def intent_filters(df: DataFrame, column: str = "value") -> DataFrame:
     return out
 
 
+_ATTRIBUTE = r"(?i)@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)"
+
+
 def arff(spark: SparkSession, path: str) -> DataFrame:
-    """A table of an attribute-relation file: types by its header, ``?`` is null, sparse rows have 0 elsewhere."""
-    rows = lines(spark, path)
-    head = [r["value"] for r in rows.where(F.lower("value").startswith("@attribute")).orderBy("path", "line_no").select("value").collect()]  # one row per column
-    import re
+    """A table of an attribute-relation file, or of a folder of a header file and part files: types by the header, ``?`` is null, sparse rows have 0 elsewhere.
 
-    names = [(m[1].strip("'\""), m[2]) for h in head if (m := re.match(r"(?i)@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", h))]
+    The header, one line per column, goes to the driver; rows are read in parallel, in any order.
+    """
+    rows = spark.read.text(path)
+    head = rows.where(F.lower(F.substring("value", 1, 10)) == "@attribute").withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").collect()
+    names = [(m[1].strip("'\""), m[2]) for r in head if (m := re.match(_ATTRIBUTE, r["value"]))]
     data = rows.where(~F.trim("value").startswith("@") & ~F.trim("value").startswith("%") & (F.trim("value") != ""))
     sparse = F.trim("value").startswith("{")
     entries = F.filter(F.split(F.regexp_replace("value", r"[{}]", ""), r"\s*,\s*"), lambda x: x != "")

@@ -44,19 +44,18 @@ def arff_header(df: DataFrame, relation: str, nominal: dict[str, Sequence[str]])
     return [f"@RELATION {relation}", "", *[f"@ATTRIBUTE '{c}' {kinds[c]}" for c in df.columns], "", "@DATA"]
 
 
-def arff_lines(df: DataFrame, relation: str, nominal: dict[str, Sequence[str]], sparse: bool = False) -> DataFrame:
-    """(part, value): the header (part 0) and the rows (part 1) of an attribute-relation file, dense or sparse."""
-    head = df.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(arff_header(df, relation, nominal))], "part int, i int, value string")
+def arff_rows(df: DataFrame, nominal: dict[str, Sequence[str]], sparse: bool = False) -> DataFrame:
+    """(value): the rows of an attribute-relation file, dense or sparse."""
     text = lambda f: F.concat(F.lit("'"), F.col(f"`{f.name}`").cast("string"), F.lit("'")) if isinstance(f.dataType, T.StringType) and f.name not in nominal else F.col(f"`{f.name}`").cast("string")
     if sparse:
-        cells = [F.when(~isinstance_zero(f, nominal), F.concat(F.lit(f"{i} "), F.coalesce(text(f), F.lit("?")))) for i, f in enumerate(df.schema.fields)]
+        cells = [F.when(~is_left_out(f, nominal), F.concat(F.lit(f"{i} "), F.coalesce(text(f), F.lit("?")))) for i, f in enumerate(df.schema.fields)]
         body = F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
     else:
         body = F.concat_ws(",", *[F.coalesce(text(f), F.lit("?")) for f in df.schema.fields])
-    return head.drop("i").unionByName(df.select(F.lit(1).alias("part"), body.alias("value")))
+    return df.select(body.alias("value"))
 
 
-def isinstance_zero(f: T.StructField, nominal: dict[str, Sequence[str]]):
+def is_left_out(f: T.StructField, nominal: dict[str, Sequence[str]]):
     """Whether a sparse row leaves the field out: numeric zeros and a nominal's first value."""
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, T.NumericType):
@@ -65,8 +64,13 @@ def isinstance_zero(f: T.StructField, nominal: dict[str, Sequence[str]]):
 
 
 def write_arff(df: DataFrame, path: str, relation: str, nominal: dict[str, Sequence[str]], sparse: bool = False) -> None:
-    """One text file: such tables are feature matrices for a single-machine tool."""
-    arff_lines(df, relation, nominal, sparse).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+    """A folder: ``header.arff`` and the rows as part files, written in parallel. ``cat header.arff part-*`` is one attribute-relation file."""
+    arff_rows(df, nominal, sparse).write.mode("overwrite").text(path)
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/header.arff")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(("\n".join(arff_header(df, relation, nominal)) + "\n").encode()))
+    out.close()
 
 
 def report(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -22,32 +22,36 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days"
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame | None:
+    """All rows of a key in a trigger, in order: a key's rows may come in several batches, in any order."""
+    parts = [b for b in batches if len(b)]
+    return pd.concat(parts).sort_values(columns, kind="stable") if parts else None
+
+
 def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for batch in batches:
-        batch = batch.sort_values(["ts", "event_id"])
-        types = batch["event_type"].tolist()
-        before = [last, *types[:-1]]
-        yield pd.DataFrame([(key[0], a, b) for a, b in zip(before, types, strict=True) if a is not None], columns=["user_id", "src", "dst"])
-        last = types[-1] if types else last
-    if last is not None:
-        state.update((last,))
+    rows = _in_order(batches, ["ts", "event_id"])
+    if rows is None:
+        return
+    types = rows["event_type"].tolist()
+    before = [state.get[0] if state.exists else None, *types[:-1]]
+    yield pd.DataFrame([(key[0], a, b) for a, b in zip(before, types, strict=True) if a is not None], columns=["user_id", "src", "dst"])
+    state.update((types[-1],))
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """(user_id, src, dst) of each event and its user's previous one, which the state keeps; events arrive in order."""
+    """(user_id, src, dst) of each event and its user's previous one, which the state keeps. Triggers come in order; a trigger's rows may not."""
     return events.groupBy("user_id").applyInPandasWithState(_pairs, "user_id long, src string, dst string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get[0] if state.exists else 0
-    for batch in batches:
-        batch = batch.sort_values("seq")
-        out = []
-        for seq, remote in zip(batch["seq"], batch["remote"], strict=True):
-            now = max(now, int(remote) if remote == remote and remote is not None else 0) + 1
-            out.append((key[0], int(seq), now))
-        yield pd.DataFrame(out, columns=["process", "seq", "clock"])
+    rows = _in_order(batches, ["seq"])
+    if rows is None:
+        return
+    now, out = state.get[0] if state.exists else 0, []
+    for seq, remote in zip(rows["seq"], rows["remote"], strict=True):
+        now = max(now, int(remote) if remote is not None and remote == remote else 0) + 1
+        out.append((key[0], int(seq), now))
+    yield pd.DataFrame(out, columns=["process", "seq", "clock"])
     state.update((now,))
 
 
