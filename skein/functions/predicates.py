@@ -7,14 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Inter-component calls that send or receive, lifecycle classes in order of precedence.
-SENDING_APIS = ["startActivity", "startActivities", "startActivityForResult", "startActivityFromChild", "startActivityFromFragment", "startActivityIfNeeded", "startNextMatchingActivity", "sendBroadcast", "sendBroadcastAsUser", "sendOrderedBroadcast", "sendOrderedBroadcastAsUser", "sendStickyBroadcast", "sendStickyBroadcastAsUser", "sendStickyOrderedBroadcast", "startService", "bindService", "startIntentSender", "setResult"]
-RECEIVING_APIS = ["getIntent", "getParentActivityIntent", "onNewIntent", "onActivityResult", "onReceive", "onStartCommand", "onBind", "onUnbind", "onRebind"]
+# Inter-component calls that send, and those that receive.
+SENDING_APIS = [
+    "startActivity", "startActivities", "startActivityForResult", "startActivityFromChild", "startActivityFromFragment", "startActivityIfNeeded",
+    "startNextMatchingActivity", "sendBroadcast", "sendBroadcastAsUser", "sendOrderedBroadcast", "sendOrderedBroadcastAsUser",
+    "sendStickyBroadcast", "sendStickyBroadcastAsUser", "sendStickyOrderedBroadcast", "sendStickyOrderedBroadcastAsUser",
+    "removeStickyBroadcast", "removeStickyBroadcastAsUser", "bindService", "startService", "stopService", "startIntentSender",
+    "startIntentSenderForResult", "startIntentSenderFromChild",
+]
+RECEIVING_APIS = ["getIntent", "getParentActivityIntent"]
+# Lifecycle classes in order of precedence, and class names of the platform (a whole name must match).
 LIFECYCLE_ORDER = ["Activity", "Application", "BroadcastReceiver", "ContentProvider", "Service"]
-SDK_PATTERN = r"^(android|com[.]android|com[.]google|java|javax|dalvik|org[.](apache|json|w3c|xml|xmlpull))[.].*$"
-# Names, name parts and raw texts of calls that malware favours.
+ANDROID_PATTERN = r"(android|com\.example\.android|com\.google|com\.android|dalvik)\.(.)+"
+OTHER_SDK_PATTERN = r"(gov\.nist|java|javax|junit|libcore|net\.oauth|org\.apache|org\.ccil|org\.javia|org\.jivesoftware|org\.json|org\.w3c|org\.xml|sun|com\.adobe|com\.svox|jp\.co\.omronsoft|org\.kxml2|org\.xmlpull)\.(.)+"
+SDK_PATTERN = f"^(?:{ANDROID_PATTERN}|{OTHER_SDK_PATTERN})$"
+# Method names of platform classes, parts of invoked names, and parts of any instruction that malware favours.
 SUSPICIOUS_NAMES = ["getExternalStorageDirectory", "getSimCountryIso", "execHttpRequest", "sendTextMessage", "getSubscriberId", "getDeviceId", "getPackageInfo", "getSystemService", "getWifiState", "setWifiEnabled", "setWifiDisabled", "Cipher"]
-SUSPICIOUS_PARTS = ["system/bin/su", "Ljava/lang/Runtime;->exec", "Ljavax/crypto/Cipher", "Ljava/net/HttpURLconnection", "Landroid/telephony/SmsMessage", "Ldalvik/system/DexClassLoader"]
+SUSPICIOUS_PARTS = ["Ljava/net/HttpURLconnection;->setRequestMethod(Ljava/lang/String;)", "Ljava/net/HttpURLconnection", "Lorg/apache/http/client/methods/HttpPost", "Landroid/telephony/SmsMessage;->getMessageBody", "Ljava/io/IOException;->printStackTrace", "Ljava/lang/Runtime;->exec"]
+SUSPICIOUS_TEXTS = ["system/bin/su", "android/os/Exec"]
 
 
 def is_set(c: Column) -> Column:
@@ -65,10 +75,28 @@ def lifecycle_type(method: Column, methods: Mapping[str, Sequence[str]]) -> Colu
     return F.coalesce(*[F.when(method.isin(*methods.get(t, [])), F.lit(t)) for t in LIFECYCLE_ORDER])
 
 
+def _invoked(instructions: Column) -> Column:
+    """Trimmed operands that name a method, of the instructions that invoke one."""
+    operands = F.flatten(F.transform(F.filter(instructions, lambda i: F.contains(i, F.lit("invoke-"))), lambda i: F.split(i, ",")))
+    return F.transform(F.filter(operands, lambda o: F.contains(o, F.lit(";->"))), lambda o: F.trim(o))
+
+
+def platform_apis(instructions: Column) -> Column:
+    """Array of (class, name): the platform methods that instructions invoke, in order."""
+    own = F.filter(_invoked(instructions), lambda o: o.startswith("Landroid"))
+    name = lambda o: F.trim(F.split_part(F.split_part(o, F.lit(";->"), F.lit(2)), F.lit("("), F.lit(1)))
+    return F.transform(own, lambda o: F.struct(F.trim(F.split_part(o, F.lit(";->"), F.lit(1))).alias("class"), name(o).alias("name")))
+
+
 def suspicious_apis(instructions: Column) -> Column:
-    """Distinct suspicious names and parts that occur in an array of instruction texts, sorted."""
-    marks = F.array(*[F.lit(x) for x in [*SUSPICIOUS_NAMES, *SUSPICIOUS_PARTS]])
-    return F.array_sort(F.filter(marks, lambda m: F.exists(instructions, lambda i: F.contains(i, m))))
+    """Distinct suspicious calls of an array of instruction texts, sorted.
+
+    ``class.name`` of an invoked platform method whose name is a listed one; a listed part that an invoked name
+    contains; a listed text that any instruction contains. A null array gives null.
+    """
+    named = F.transform(F.filter(platform_apis(instructions), lambda a: a["name"].isin(*SUSPICIOUS_NAMES)), lambda a: F.concat(a["class"], F.lit("."), a["name"]))
+    holds = lambda marks, texts: F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: F.exists(texts, lambda t: F.contains(t, m)))
+    return F.array_sort(F.array_distinct(F.concat(named, holds(SUSPICIOUS_PARTS, _invoked(instructions)), holds(SUSPICIOUS_TEXTS, instructions))))
 
 
 def used_and_restricted(requested: Column, needed: Column) -> Column:

@@ -7,13 +7,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of network addresses, in order of preference (hosts and IRIs need a known ending).
-IP_PATTERN = r"(?:^|[^0-9.])((?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(?:[^0-9.]|$)"
-HOST_PATTERN = r"^((?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,6})$"
-IRI_PATTERN = r"((?:https?|ftp|file)://[a-zA-Z0-9][^\s\"'<>]*)"
-URL_PATTERN = r"https?://([a-zA-Z0-9.-]+\.[a-zA-Z]{2,6})"
-#: The same with the braces' space kept as a literal, so that only hosts that spell it match.
-LITERAL_URL_PATTERN = r"https?://([0-9a-z.-]+)\.([a-z.]\{2, 6\})"
+# One part of an IP address, and the pattern of a host name.
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+IP_PATTERN = rf"\b({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})\b"
+HOST_PATTERN = r"^(?=.{4,253}$)((?:(?!-)[a-zA-Z0-9-]{1,63}(?<!-)\.)+[a-zA-Z]{2,63})$"
+
+
+def _iri_pattern() -> str:
+    """The grammar of RFC 3987 for a whole, lower-case IRI, composed of its rules."""
+    planes = "".join(rf"\x{{{p}0000}}-\x{{{p}FFFD}}" for p in "123456789ABCD")
+    high = rf"\x{{A0}}-\x{{D7FF}}\x{{F900}}-\x{{FDCF}}\x{{FDF0}}-\x{{FFEF}}{planes}\x{{E1000}}-\x{{EFFFD}}"
+    private = r"\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}"
+    kept = rf"-a-z0-9._~{high}!$&'()*+,;="  # unreserved marks and delimiters
+    run = lambda more: rf"[{kept}{more}]*(?:%[0-9a-f]{{2}}[{kept}{more}]*)*"  # noqa: E731  any number, none included
+    some = rf"(?:%[0-9a-f]{{2}}|[{kept}:@]){run(':@/')}"
+    octet, h16 = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", "[0-9a-f]{1,4}"
+    v4 = rf"{octet}(?:\.{octet}){{3}}"
+    low32 = rf"(?:{h16}:{h16}|{v4})"
+    # groups before the gap, which may be missing, and groups after it; two, where there are three after it, or none
+    before = [h16, f"{h16}:{h16}", *[f"(?:{h16}:){{0,{n}}}{h16}" for n in (2, 3, 4, 5, 6)]]
+    after = [*[f"(?:{h16}:){{{n}}}{low32}" for n in (4, 3, 2, 1)], low32, h16, ""]
+    v6 = [f"(?:{h16}:){{6}}{low32}", f"::(?:{h16}:){{5}}{low32}", *[f"(?:{x})?::{y}" for x, y in zip(before, after, strict=True)]]
+    literal = rf"\[(?:{'|'.join(v6)}|v[0-9a-f]+[-a-z0-9._~!$&'()*+,;=:]+)\]"
+    authority = rf"(?:{run(':')}@)?(?:{literal}|{v4}|{run('@')})(?::[0-9]*)?"
+    path = rf"(?://{authority}(?:/{run(':@/')})?|/(?:{some})?|{some}|)"
+    return rf"^([a-z][-a-z0-9+.]*:{path}(?:\?{run(':@/?' + private)})?(?:#{run(':@/?')})?)$"
+
+
+IRI_PATTERN = _iri_pattern()
+#: A web address as the survey's Q5 means it, and with the blank of its braces as text, so that only numeric hosts and those that spell it match.
+URL_PATTERN = r"(?i)https?://([\da-z.-]+\.[a-z.]{2,6}|[\d.]+)[^'\"]*"
+LITERAL_URL_PATTERN = r"(?i)https?://([\da-z.-]+\.[a-z.]\{2, 6\}|[\d.]+)[^'\"]*"
+_DOMAIN = r"(?i)https?://([^/:\\]*)"
 
 
 def nonempty(c: Column) -> Column:
@@ -81,6 +106,11 @@ def call_tokens(line: Column) -> Column:
     return F.filter(clean, lambda p: (p != "") & (p != ","))
 
 
+def long_tokens(tokens: Column, least: int = 2) -> Column:
+    """The tokens of at least ``least`` characters."""
+    return F.filter(tokens, lambda t: F.length(t) >= least)
+
+
 def trace_call(line: Column) -> Column:
     """Struct (caller, callee) of ``<caller> -> <callee>``; null when there is no arrow."""
     parts = F.split(line, " -> ")
@@ -99,12 +129,16 @@ def percentage(part: Column, total: Column) -> Column:
 
 
 def url_domain(text: Column, literal: bool = False) -> Column:
-    """Domain of the first web address, or null; ``literal`` keeps the pattern's braces as text."""
-    return nonempty(F.regexp_extract(text, LITERAL_URL_PATTERN if literal else URL_PATTERN, 1))
+    """What follows the scheme of the first web address, up to a slash, colon or backslash; null without an address.
+
+    ``literal`` keeps the pattern's braces as text.
+    """
+    found = F.regexp_extract(text, LITERAL_URL_PATTERN if literal else URL_PATTERN, 0)
+    return nonempty(F.regexp_extract(found, _DOMAIN, 1))
 
 
 def net_address(text: Column) -> Column:
-    """Struct (kind, address): the first IP, else a text that is a host name, else the first IRI; else null."""
+    """Struct (kind, address): the first IP anywhere, else a text that is a host name, else a text that is an IRI; else null."""
     found = [(k, nonempty(F.regexp_extract(text, p, 1))) for k, p in (("ip", IP_PATTERN), ("host", HOST_PATTERN), ("iri", IRI_PATTERN))]
     return F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("kind"), c.alias("address"))) for k, c in found])
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, graph_queries, join_queries, markov_queries, text_queries, trace_queries
+from . import evaluation_queries, feature_queries, graph_queries, io_queries, join_queries, markov_queries, name_queries, text_queries, trace_queries
 
-MODULES = [markov_queries, text_queries, join_queries, trace_queries, graph_queries, evaluation_queries]
+MODULES = [markov_queries, text_queries, name_queries, join_queries, trace_queries, graph_queries, evaluation_queries, feature_queries, io_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,16 +32,6 @@ def token_counts(spark, sf_dir):
     return counts.count_by(read(spark, sf_dir, "documents").select("lang", words.alias("token")).where(F.col("token").startswith("th")), ["lang", "token"])
 
 
-def net_addresses(spark, sf_dir):
-    found = read(spark, sf_dir, "pages").select(X.net_address(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("a")).where("a IS NOT NULL").select("a.kind", "a.address")
-    return counts.count_by(found, ["kind", "address"])
-
-
-def document_addresses(spark, sf_dir):
-    found = read(spark, sf_dir, "documents").select("doc_id", X.net_address(F.col("text")).alias("a")).where("a IS NOT NULL")
-    return found.select("doc_id", "a.kind", "a.address")
-
-
 def xml_attr_extract(spark, sf_dir):
     links = read(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
     return counts.count_by(links, ["href"])
@@ -89,24 +79,12 @@ _SHORT = f"len(list_filter({_PARTS}, lambda p: length(p) < 3))"
 _CLASS = f"CASE WHEN {_SHORT} >= len({_PARTS}) / 2.0 THEN 'obfuscated' ELSE 'selfdefined' END"
 _PREFIX = "CASE " + " ".join(f"WHEN starts_with({_H}, '{p}') THEN '{p}'" for p in PREFIXES) + f" ELSE {_CLASS} END"
 _DEPTH = "CASE " + " ".join(f"WHEN len(h) < {i + 1} OR NOT coalesce(list_contains({LEVELS[i]!r}, h[{i + 1}]), false) THEN {i}" for i in range(4)) + " ELSE 4 END"
-_IP = X.IP_PATTERN.replace("'", "''")
-_IRI = X.IRI_PATTERN.replace("'", "''")
-_HOSTP = X.HOST_PATTERN.replace("'", "''")
-
-
-def _address(c: str) -> str:
-    g = lambda p: f"regexp_extract({c}, '{p}', 1)"
-    return f"CASE WHEN {g(_IP)} <> '' THEN 'ip' WHEN {g(_HOSTP)} <> '' THEN 'host' WHEN {g(_IRI)} <> '' THEN 'iri' END AS kind, CASE WHEN {g(_IP)} <> '' THEN {g(_IP)} WHEN {g(_HOSTP)} <> '' THEN {g(_HOSTP)} ELSE {g(_IRI)} END AS address"
-
-
-QUERIES = {f.__name__: f for f in (state_abstraction, package_states, token_counts, net_addresses, document_addresses, xml_attr_extract, default_bucket_counts, fill_down_sections, api_predicates, name_parts, ascii_names, label_changes)}
+QUERIES = {f.__name__: f for f in (state_abstraction, package_states, token_counts, xml_attr_extract, default_bucket_counts, fill_down_sections, api_predicates, name_parts, ascii_names, label_changes)}
 ORACLES = {
-    "state_abstraction": f"SELECT page_id, {_PREFIX} AS state, CASE WHEN {_SHORT} > len({_PARTS}) / 2.0 THEN 'obfuscated' ELSE 'self-defined' END AS older, nullif(regexp_extract(url, '{X.URL_PATTERN}', 1), '') AS domain FROM pages",
+    "state_abstraction": f"SELECT page_id, {_PREFIX} AS state, CASE WHEN {_SHORT} > len({_PARTS}) / 2.0 THEN 'obfuscated' ELSE 'self-defined' END AS older, nullif(regexp_extract(regexp_extract(url, '(?i)https?://([\\da-z.-]+\\.[a-z.]{{2,6}}|[\\d.]+)[^''\"]*', 0), '(?i)https?://([^/:]*)', 1), '') AS domain FROM pages",
     "package_states": f"""WITH p AS (SELECT page_id, {_H} AS host, {_PARTS} AS h FROM pages), d AS (SELECT *, {_DEPTH} AS depth FROM p), w AS (SELECT *, array_to_string(h[1:depth], '.') AS pkg FROM d)
 SELECT page_id, CASE WHEN depth = 0 THEN CASE WHEN len(list_filter(h, lambda p: length(p) < 3)) >= len(h) / 2.0 THEN 'obfuscated' ELSE 'selfdefined' END WHEN depth < len(h) AND list_contains({KNOWN!r}, pkg) THEN pkg END AS state FROM w""",
     "token_counts": "SELECT lang, token, count(*) AS cnt FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS token FROM documents) WHERE starts_with(token, 'th') GROUP BY ALL",
-    "net_addresses": f"SELECT kind, address, count(*) AS cnt FROM (SELECT {_address(chr(117))} FROM (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS u FROM pages)) WHERE kind IS NOT NULL GROUP BY ALL",
-    "document_addresses": f"SELECT * FROM (SELECT doc_id, {_address('text')} FROM documents) WHERE kind IS NOT NULL",
     "xml_attr_extract": """SELECT href, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY href""",
     "default_bucket_counts": """WITH k AS (SELECT DISTINCT p_type, 'small ' || substr(p_type, 1, 3) AS category FROM part WHERE p_size < 10 AND NOT starts_with(p_type, 'S'))
 SELECT coalesce(category, 'NO_CATEGORY') AS category, count(*) AS cnt FROM part LEFT JOIN k USING (p_type) WHERE p_size < 30 GROUP BY 1""",

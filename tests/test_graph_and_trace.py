@@ -126,6 +126,52 @@ def test_streams_agree_with_batch(spark, sf):
     assert count(spark.table("t_stream")) == count(batch)
 
 
+def test_a_trigger_may_bring_a_key_in_several_batches():
+    from skein.streaming import monitors
+
+    class State:
+        exists, got = False, None
+
+        @property
+        def get(self):
+            return self.got
+
+        def update(self, value):
+            self.exists, self.got = True, value
+
+    frames = lambda rows, cols: [pd.DataFrame(rows[i : i + 2], columns=cols) for i in range(0, len(rows), 2)]
+    state, order = State(), [3, 0, 4, 1, 2]
+    rows = [(f"t{i}", pd.Timestamp(2020, 1, 1 + i), i) for i in order]
+    out = pd.concat(monitors._pairs((7,), iter(frames(rows, ["event_type", "ts", "event_id"])), state))
+    assert list(zip(out["src"], out["dst"], strict=True)) == [(f"t{i}", f"t{i + 1}") for i in range(4)] and state.got == ("t4",)
+    clocks = State()
+    out = pd.concat(monitors._clock(("p",), iter(frames([(i, 10.0 if i == 1 else None) for i in order], ["seq", "remote"])), clocks))
+    assert out["clock"].tolist() == [1, 11, 12, 13, 14] and clocks.got == (14,)
+    assert list(monitors._pairs((7,), iter([]), State())) == []
+
+
+def test_ranks_and_sums_over_ranges(spark):
+    from skein.operators import order
+
+    df = spark.range(5000).selectExpr("id", "(id * 37) % 501 AS v").repartition(7)
+    r = order.global_rank(df, [F.desc("v"), F.asc("id")], "place", "n").orderBy("place").collect()
+    assert [x.place for x in r] == list(range(5000)) and [(-x.v, x.id) for x in r] == sorted((-x.v, x.id) for x in r) and r[0].n == 5000
+    s = order.running_sums(df, [F.asc("id")], {"v": "run"}).orderBy("id").collect()
+    assert [x.run for x in s] == np.cumsum([x.v for x in s]).tolist() and s[0].run_all == s[-1].run
+    assert order.global_rank(df.where("id < 0"), [F.asc("id")], "place").count() == 0
+
+
+def test_svm_penalty_goes_by_the_rows(spark):
+    from skein.operators import models, vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] > 0).astype(float)
+    df = vectors.to_vector(spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y, strict=True)], "features array<double>, label double"))
+    m = models.SummedSVC(c=2.0, max_iter=200).fit(df)
+    assert abs(m.getRegParam() - 1 / 120) < 1e-12
+
+
 def test_l1_svm_meets_its_optimality_conditions():
     from skein.operators.models import l1_svm
 

@@ -93,6 +93,7 @@ def test_arff_round_trip(spark, tmp_path):
     for sparse in (False, True):
         at = str(tmp_path / f"arff{sparse}")
         sinks.write_arff(df, at, "rel", {"class": ["Benign", "Evil"]}, sparse)
+        assert (tmp_path / f"arff{sparse}" / "header.arff").read_text().splitlines()[-1] == "@DATA"
         back = readers.arff(spark, at)
         assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
 
@@ -125,6 +126,36 @@ def test_net_addresses(spark):
     assert kind("google.com") == ("host", "google.com")
     assert kind("hey everybody") is None and kind("true") is None
     assert kind("http://www.google.com/a/b/v.htm") == ("iri", "http://www.google.com/a/b/v.htm")
+    assert kind("example.technology") == ("host", "example.technology")
+    assert kind("010.001.0.1") == ("ip", "010.001.0.1") and kind("10.0.0.1.") == ("ip", "10.0.0.1")
+    assert kind("market://details?id=a.b") == ("iri", "market://details?id=a.b") and kind("content://sms/inbox")[0] == "iri"
+    assert kind("see http://a.com/b now") is None and kind("HTTP://A.COM") is None and kind("http://a.com/%7") is None
+    assert kind("a" * 64 + ".com") is None and kind("-a.com") is None and kind("a.b") is None
+    assert kind("http://[1:2:3:4:5:6:7:8]/")[0] == "iri" and kind("http://[::1]")[0] == "iri" and kind("http://[1::2:3:4:5:6]/") is None
+    assert kind("x:" + "y" * 200_000)[0] == "iri" and kind("x:" + "y" * 200_000 + " ") is None
+
+
+def test_api_lists_and_rules(spark):
+    senders = ["removeStickyBroadcast", "removeStickyBroadcastAsUser", "stopService", "sendStickyOrderedBroadcastAsUser", "startIntentSenderForResult", "startIntentSenderFromChild"]
+    assert len(P.SENDING_APIS) == 23 and all(one(spark, P.is_sending_api(F.col("v")), v=x) for x in senders)
+    assert not one(spark, P.is_sending_api(F.col("v")), v="setResult") and P.RECEIVING_APIS == ["getIntent", "getParentActivityIntent"]
+    layer = lambda c: one(spark, P.code_layer(F.col("v"), F.lit("my.app")), v=c)
+    for c in ("gov.nist.A", "junit.A", "libcore.A", "net.oauth.A", "org.ccil.A", "org.javia.A", "org.jivesoftware.A", "sun.A", "com.adobe.A", "com.svox.A", "jp.co.omronsoft.A", "org.kxml2.A", "com.example.android.A"):
+        assert layer(c) == "SDK"
+    assert layer("com.my.app.sun.A") == "UserCode" and layer("sun") == layer("xsun.A") == "3rdLib" and layer("") == "Unknown"
+    calls = lambda *v: one(spark, P.suspicious_apis(F.col("v")), v=list(v))
+    assert calls("const-string v0, Cipher", "x") == [] and calls("invoke-virtual v0, Ljavax/crypto/Cipher;->doFinal()V") == []
+    assert calls("invoke-static v0, Landroid/a/B;->Cipher()V", "invoke-static v0, Landroid/a/B;->Cipher()V") == ["Landroid/a/B.Cipher"]
+    assert calls("invoke-virtual Ljava/io/IOException;->printStackTrace()V", "nop android/os/Exec") == ["Ljava/io/IOException;->printStackTrace", "android/os/Exec"]
+    assert calls("sget Lorg/apache/http/client/methods/HttpPost;->x") == []
+    assert one(spark, F.size(P.platform_apis(F.col("v"))), v=["invoke-x v0, Landroid/a/B;->c(I)V", "invoke-x v0, Lb/C;->d()V"]) == 1
+
+
+def test_url_domains(spark):
+    d = lambda v, literal=False: one(spark, X.url_domain(F.col("v"), literal), v=v)
+    assert d("http://10.1.2.3/x") == "10.1.2.3" and d("https://site.technology/a") == "site.technology" and d("HTTP://A.b.com:80/") == "A.b.com"
+    assert d("x https://a.example.com\\y") == "a.example.com" and d("none") is None and d("http://localhost/") is None
+    assert d("http://10.1.2.3/x", True) == "10.1.2.3" and d("http://a.com/x", True) is None and d("http://x.y{2, 6}/z", True) == "x.y{2, 6}"
 
 
 def test_scalar_functions(spark):
@@ -141,11 +172,34 @@ def test_scalar_functions(spark):
     assert one(spark, X.package_walk(F.col("v"), [["a"], ["b"]], ["a.b", "a"]), v="a.b") is None
     assert one(spark, X.package_walk(F.col("v"), [["a"], ["b"]], ["a.b", "a"]), v="a.b.Cls") == "a.b"
     assert one(spark, X.url_domain(F.col("v")), v="x https://a.example.com/q") == "a.example.com"
-    assert one(spark, P.suspicious_apis(F.col("v")), v=["invoke Cipher;", "x"]) == ["Cipher"]
     r = one(spark, P.used_and_restricted(F.col("a"), F.col("b")), a=["p", "q"], b=["q", "r"])
     assert (r.used, r.restricted) == (["q"], ["r"])
 
 
+def test_feature_names_raise_instead_of_dropping(spark):
+    from skein.operators import counts
+
+    df = spark.range(12).selectExpr("concat('n', id) AS name")
+    assert len(counts.feature_names(df, "name", 12)) == 12
+    with pytest.raises(ValueError, match="more than 11"):
+        counts.feature_names(df, "name", 11)
+
+
+def test_short_and_long_phrases_are_found_alike(spark):
+    import random
+
+    rnd = random.Random(2)
+    words = ["ab", "b", "cab", "d", "bb"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(60)]
+    phrases = [(100 + i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7)))[rnd.randint(0, 1) :]) for i in range(40)]
+    t, p = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "item long, phrase string")
+    got = sorted((r.id, r.item) for r in joins.contains_join(t, "text", "id", p, "phrase").select("id", "item").collect())
+    assert got == sorted((i, j) for i, x in texts for j, y in phrases if y in x)
+    long = p.where("size(split(phrase, ' ')) > 4")
+    plan = joins.contains_join(t, "text", "id", long, "phrase")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
 def test_label_rules(spark):
     d = spark.createDataFrame([("t2_ab.apk", 1), ("t1_ab.apk", 2), ("cd.apk", 3)], "name string, x int")
     assert sorted(r.name for r in labels.keep_least_transformed(d, "name").collect()) == ["cd.apk", "t1_ab.apk"]
