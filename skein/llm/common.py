@@ -18,64 +18,61 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+_LOCAL: dict[str, str] = {}  # application to the folder that stands in for an unset one
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only in local mode when unset."""
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where that is unset, and in local mode only, one of the application's own."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="skein-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-#: Rows of an Arrow batch at most: with it a worker's share of texts and results is bounded.
-BATCH_ROWS = 1000
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="skein-")
+    return _LOCAL[app]
 
 
-def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session then sends at most ``BATCH_ROWS`` rows to a Python worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+#: Settings while a table is written: few rows in a Python worker at once, and shuffle files go when the table is there.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def give_back_heap(spark: SparkSession) -> None:
-    """Have the executors collect garbage and return heap that they no longer use, before stages that need Python's memory.
-
-    One short task per slot calls the collector; where a task lands twice or never, only memory is less evenly returned.
-    """
-    slots = spark.sparkContext.defaultParallelism
-    spark.range(0, slots, 1, slots).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """``WRITING`` holds inside; afterwards the session has its own settings again."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    now = before["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    try:
+        for k, v in WRITING.items():
+            if not (k.endswith("maxRecordsPerBatch") and now and 0 < int(now) < int(v)):
+                spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
-    """Tables of one run in the shared folder: they cut lineage and outlive lost executors."""
+    """Tables of one run in the shared folder: they cut lineage and outlive lost executors. Nothing of them is in the catalogue."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return a scan of it; shuffle files of its plan are let go."""
+        """Write ``df`` as Parquet and return a scan of it."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        self.release()
-        return out
+        with writing(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """As ``save``, dealt by ``key`` once, so that later joins and groups by it need no shuffle of this table."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"skein_{uuid.uuid4().hex[:16]}"
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{self.root}/{name}").saveAsTable(table)
-        del df
-        self.release()
-        return self.spark.table(table)
+        with writing(self.spark):
+            df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{self.root}/{name}").saveAsTable(table)
+        return forget_table(self.spark, table)
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
@@ -84,10 +81,34 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Have Spark's cleaner remove the shuffle files of plans that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+
+def forget_table(spark: SparkSession, name: str) -> DataFrame:
+    """A scan of an external table that is taken out of the catalogue: files and buckets are known to the scan."""
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+#: A group with more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE such groups.
+HOT_SHARE = 1e-3
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with their groups (one row for each value of ``keys``, ``size``: its rows of ``total``), hot groups apart.
+
+    Hot groups are at most a thousand and are broadcast, so that their rows stay where they are; the others are merged.
+    Both sides are read twice.
+    """
+    hot = F.col(size) > total * HOT_SHARE
+    few = groups.where(hot)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").hint("merge").join(groups.where(~hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(rest)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_skein{i}" for i in range(n + len(taken))) if x not in taken][:n]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

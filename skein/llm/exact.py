@@ -8,31 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir
+from .common import Scratch, forget_table, free_names, join_groups, shared_dir
 
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_cp): SHA-256 of the text without ASCII white space, and its code points.
+    """(doc_id, text_key, digest, n_cp): hash of the text, SHA-256 of the text without ASCII white space, its code points.
 
     Null and empty texts, and texts of white space alone, all have the digest of the empty string.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.where(F.col(id_col).isNotNull()).select(
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("text_key"),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE_CLASS, ""), 256)).alias("digest"),
         F.length(text).alias("n_cp"),
     )
 
 
 def best_of_each(prints: DataFrame) -> DataFrame:
-    """One row per digest: the row that stays (most code points, then smallest id) and the group's size.
+    """(digest, keep_id, keep_cp, group_size): the row that stays (most code points, then smallest id, no id last) and the group's size.
 
     Map-side partial aggregation leaves at most one row per digest and task, so a digest that a third
     of all rows share is no hot key.
     """
-    return prints.groupBy("digest").agg(F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").alias("id"))).alias("b"), F.count("*").alias("group_size")).select("digest", F.col("b.id").alias("keep_id"), "group_size")
+    first = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    return prints.groupBy("digest").agg(first.alias("b"), F.count("*").alias("group_size")).select("digest", F.col("b.id").alias("keep_id"), (-F.col("b.n")).alias("keep_cp"), "group_size")
 
 
 class DigestIndex:
@@ -67,34 +69,43 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, best: DataFrame) -> DataFrame:
-        """Add ``best`` (digest, keep_id, group_size; digests unique) where new; return the new rows."""
-        fresh = best
+        """Add ``best`` (digest, keep_id, group_size; digests unique) where new; return a table of the new rows."""
+        fresh = best.select("digest", "keep_id", "group_size")
         if self.exists():
-            fresh = best.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        fresh = fresh.repartition(self.buckets, "digest")
-        fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+            fresh = fresh.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+        fresh = Scratch(self.spark, "fresh").save(fresh.repartition(self.buckets, "digest"), "rows")
+        fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         return fresh
 
+    def forget(self) -> DataFrame:
+        """The index as a scan, its table taken out of the catalogue; the files stay."""
+        return forget_table(self.spark, self.name)
+
+
+def _judged(docs: DataFrame, index: DigestIndex | None) -> DataFrame:
+    """(doc_id, text_key, n_cp, digest, keep_id, group_size, kept) of each row."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    prints = scratch.save(fingerprint(docs), "prints")
+    best = scratch.save(best_of_each(prints), "best")
+    held = index or DigestIndex(docs.sparkSession)
+    held.append(best)
+    known = (held.read() if index else held.forget()).select("digest", F.col("keep_id").alias("first_id"))
+    owner = best.hint("merge").join(known, "digest").select("digest", F.col("first_id").alias("keep_id"), "keep_cp", "group_size", F.col("keep_id").eqNullSafe(F.col("first_id")).alias("here"))
+    owner = scratch.save(owner, "owner")
+    rows = join_groups(prints, owner, ["digest"], "group_size", prints.count())
+    return rows.withColumn("kept", F.col("here") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp")))
+
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256 (lower-case hex), digest rows over all documents.
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256 (lower-case hex).
 
     Texts are equal when they are identical without ASCII white space; null counts as empty. Of equal
-    texts in one batch the one with the most code points stays, ties to the smallest id. With an index
-    from earlier batches, a digest that it has drops the whole group, and keep_id is the indexed id.
-    Rows that repeat a doc_id are one document: each gets that document's result. Rows without a doc_id are
-    left out. Only doc_id and text are read, so extra columns cannot clash. An empty table gives no rows.
+    texts in one batch the one with the most code points stays, ties to the smallest id; a missing id is larger than all.
+    With an index from earlier batches, a digest that it has drops the whole group, and keep_id is the indexed id.
+    Rows with one doc_id and different texts are judged each for itself; rows that agree in id and text are the same document
+    and all are ``kept`` or not. Only doc_id and text are read, so extra columns cannot clash. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
-    index = index or DigestIndex(spark)
-    prints = scratch.save(fingerprint(docs), "prints")
-    best = scratch.save(best_of_each(prints), "best")
-    index.append(best)
-    known = index.read().select("digest", F.col("keep_id").alias("first_id"))
-    owner = scratch.save(best.drop("keep_id").hint("merge").join(known, "digest").withColumnRenamed("first_id", "keep_id"), "owner")
-    rows = prints.select("doc_id", "digest").hint("merge").join(owner, "digest")
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return _judged(docs, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = """
@@ -107,6 +118,20 @@ FROM n
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the documents that an equal one replaces."""
-    gone = Scratch(docs.sparkSession, "exact-kept").save(exact_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs.doc_id == gone.doc_id, "left_anti")
+    """``docs`` (all columns) with one row of each group of equal texts, the one that stays in ``exact_dedup``.
+
+    Rows go by doc_id and text, so another text of the same id stays, and rows without an id take part. Of rows that
+    agree in both one stays, whichever.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-kept")
+    rows = scratch.save(_judged(docs, None).select("doc_id", "text_key", "kept"), "rows")
+    gone = rows.where("NOT kept").select("doc_id", "text_key").distinct()
+    twice = scratch.save(rows.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    a, b = free_names(docs, 2)
+    keyed = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    named = lambda t: t.select(F.col("doc_id").alias(f"{a}g"), F.col("text_key").alias(f"{b}g"))
+    same = F.col(a).eqNullSafe(F.col(f"{a}g")) & (F.col(b) == F.col(f"{b}g"))
+    left = keyed.join(named(gone), same, "left_anti")
+    if not twice.isEmpty():
+        left = left.join(named(twice), same, "left_anti").unionByName(left.join(named(twice), same, "left_semi").dropDuplicates([a, b]))
+    return left.select(*docs.columns)

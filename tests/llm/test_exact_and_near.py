@@ -40,7 +40,68 @@ def test_exact_matches_brute_force_on_awkward_rows(spark):
 
 def test_exact_empty_and_null_ids(spark):
     assert exact.exact_dedup(docs(spark, [])).count() == 0
-    assert [r.doc_id for r in exact.exact_dedup(docs(spark, [(None, "x"), (1, "x")])).collect()] == [1]
+    assert exact.keep_first_copies(docs(spark, [])).count() == 0
+    out = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs(spark, [(None, "x "), (1, "x"), (None, "y"), (2, "z"), (0, "z")])).collect()}
+    assert out == {(None, None, 2, True), (1, None, 2, False), (None, None, 1, True), (2, 0, 2, False), (0, 0, 2, True)}
+
+
+def texts(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+
+
+def test_exact_stage_goes_by_rows(spark):
+    """Another text of the same id stays, identical rows are one, rows without an id take part."""
+    rows = [(0, "a"), (1, "a"), (1, "unique other text"), (2, "b c"), (2, "b c"), (2, "b  c"), (None, "a"), (None, "d"), (None, "d")]
+    out = exact.keep_first_copies(docs(spark, rows))
+    assert out.columns == docs(spark, rows).columns
+    assert texts(out) == [(False, 0, "a"), (False, 1, "unique other text"), (False, 2, "b  c"), (True, 0, "d")]
+
+
+def test_append_returns_the_rows_it_wrote(spark):
+    index = exact.DigestIndex(spark)
+    row = lambda d, i: spark.createDataFrame([(bytes([d]), i, 1)], "digest binary, keep_id long, group_size long")
+    assert [r.keep_id for r in index.append(row(1, 5)).collect()] == [5]
+    second = index.append(row(1, 6).union(row(2, 7)))
+    assert second.count() == 1 and second.first().keep_id == 7
+    assert {r.keep_id for r in index.read().collect()} == {5, 7}
+    tables = {t.name for t in spark.catalog.listTables()}
+    exact.exact_dedup(docs(spark, [(1, "x")])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == tables  # an index of one's own leaves no table
+    spark.sql(f"DROP TABLE {index.name}")
+
+
+def test_operators_leave_the_session_as_it_was(spark):
+    now = dict(spark.conf.getAll)
+    neardup.near_dup_groups(docs(spark, ROWS)).collect()
+    exact.exact_dedup(docs(spark, ROWS)).collect()
+    assert dict(spark.conf.getAll) == now
+
+
+def test_near_clashing_ids_and_missing_ids(spark):
+    far = " ".join(f"k{i}" for i in range(60))
+    rows = [(1, BASE), (1, far), (2, BASE + " z"), (3, far + " z"), (None, far + " y"), (None, "only here of all rows"), (0, "nothing like the others in here")]
+    out = neardup.near_dup_groups(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in out) == [
+        ("0", "0", True), ("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False), ("None", "1", False), ("None", "None", True),
+    ]
+    left = neardup.keep_one_of_each_group(docs(spark, [*rows, (4, BASE), (4, "a text of its own, with the id of a copy")]))
+    assert texts(left) == sorted([(False, 1, BASE), (False, 1, far), (False, 0, rows[-1][1]), (False, 4, "a text of its own, with the id of a copy"), (True, 0, "only here of all rows")])
+
+
+def test_large_bands_are_dealt(spark, monkeypatch):
+    """Many classes in one band, of several components: the pairs between them are met in salted parts."""
+    import random
+
+    monkeypatch.setattr(neardup, "BAND_ROWS", 7)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = [f"v{k}" for k in range(60)]
+        at = rnd.choice([0, 15, 30])
+        words[at : at + rnd.randint(3, 14)] = [f"x{i}{k}" for k in range(rnd.randint(3, 14))]
+        rows.append((i, " ".join(words)))
+    got = sorted(tuple(r) for r in neardup.near_dup_groups(docs(spark, rows)).collect())
+    assert got == brute_near(rows)
 
 
 def test_index_keeps_what_came_first(spark):
@@ -53,7 +114,7 @@ def test_index_keeps_what_came_first(spark):
     again = exact.DigestIndex(spark, index.name, index.buckets, index.path)
     assert again.exists() and again.read().count() == 3
     assert [r.kept for r in exact.exact_dedup(docs(spark, [(9, "other")]), again).collect()] == [False]
-    assert sorted(r.doc_id for r in exact.keep_first_copies(docs(spark, ROWS)).collect()) == sorted(i for i, k, _, kept, _ in brute_exact(ROWS) if kept)
+    assert sorted(r.doc_id for r in exact.keep_first_copies(docs(spark, ROWS)).collect()) == sorted({i for i, k, _, kept, _ in brute_exact(ROWS) if kept})
 
 
 def shingles(text):
