@@ -120,6 +120,58 @@ def test_dual_tree_matches_brute_force(spark, n):
     assert sorted(tuple(r) for r in topk.nearest_of_every_20th(df).collect()) == brute_top(dict(rows).items(), 20)
 
 
+@pytest.mark.parametrize("scale", [1e6, 1e8, 1e14])
+def test_scores_are_exact_on_large_components(spark, scale):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * scale]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 300, 20):
+        score = lambda i: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(good[q], good[i], strict=True))))  # noqa: B023, E731
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted((-score(i), i) for i in good if i != q)[:20], 1)]
+    assert sorted(tuple(r) for r in topk.nearest_of_every_20th(df).collect()) == want
+
+
+def test_blocks_are_pruned_and_never_crossed(spark):
+    """Far clusters in small blocks: several blocks and cells, no cross join, ragged widths."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6)) * 20
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6)][: 5 if i % 50 == 3 else 6]) for i in range(3000)]
+    df = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = topk.top_k(df.where("vec_id % 20 = 0"), df, 5, data_block=100, query_block=64)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == brute_top([(i, v + [0.0] * (6 - len(v))) for i, v in rows], 5)
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "line"])
+def test_cover_tree_invariants(kind):
+    rng = np.random.default_rng(3)
+    x = {"normal": rng.normal(size=(900, 8)) * 50, "copies": np.repeat(rng.normal(size=(30, 8)) * 50, 30, 0), "line": np.outer(2.0 ** (np.arange(600) % 14), np.ones(3))}[kind].astype(np.int16)
+    numbers = topk.Numbers(float(np.abs(x).max()), x.shape[1])
+    t = topk.CoverTree(np.arange(len(x)), x, numbers, leaf=8)
+    assert sorted(t.ids.tolist()) == list(range(len(x))) and (x[t.ids] == t.x).all()
+    f = x.astype(float)
+    c = f[t.centres]
+    d = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+    top = t.level_of[0]
+    for level in sorted(set(t.level_of)):
+        net = np.flatnonzero(t.level_of >= level)
+        assert (net == np.arange(len(net))).all()  # nested
+        assert (d[np.ix_(net, net)][~np.eye(len(net), dtype=bool)] > 2.0**level).all()  # separated
+        if level > t.level_of.min():
+            assert np.sqrt(((f[:, None] - c[None, net]) ** 2).sum(2)).min(1).max() <= 2.0**level * (1 + 1e-12)  # covering
+    for j in range(1, len(c)):
+        assert t.level_of[t.parent[j]] > t.level_of[j] and d[j, t.parent[j]] <= 2.0 ** (t.level_of[j] + 1) * (1 + 1e-12)
+    for k, children in enumerate(t.children):
+        members = t.x[t.lo[k] : t.hi[k]].astype(float)
+        assert np.sqrt(((members - t.centre[k].astype(float)) ** 2).sum(1)).max() <= t.radius[k] * (1 + 1e-9)
+        if children:
+            assert (t.centre[children[0]] == t.centre[k]).all() and t.lo[children[0]] == t.lo[k] and t.hi[children[-1]] == t.hi[k]
+            assert all(t.hi[a] == t.lo[b] for a, b in zip(children, children[1:], strict=False)) and len(children) > 1
+    assert top >= max(t.level_of)
+
+
 def test_vectors_of_unequal_length(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0, 5.0]), (2, []), (3, [2.0])], "vec_id long, embedding array<float>")
     assert sorted((r.rank, r.vec_id, r.score) for r in topk.nearest_of_every_20th(df).collect()) == [(1, 1, 64 * 64 * 3), (2, 3, 64 * 64 * 2)]
@@ -128,23 +180,18 @@ def test_vectors_of_unequal_length(spark):
 def test_tree_covers_and_cuts_off():
     rng = np.random.default_rng(1)
     x = np.floor(64 * np.concatenate([rng.normal(size=(2000, 8)) * 0.05 + c for c in rng.normal(size=(4, 8)) * 3]))
-    t = topk.CoverTree(np.arange(len(x)), x)
-    for k in range(len(t.lo)):
-        far = np.sqrt(((t.x[t.lo[k] : t.hi[k]] - t.centre[k]) ** 2).sum(1)).max()
-        assert far <= t.radius[k] + 1e-6
-        assert not t.children[k] or [t.lo[k], t.hi[k]] == [min(t.lo[c] for c in t.children[k]), max(t.hi[c] for c in t.children[k])]
-    s = topk.Search(topk.CoverTree(np.arange(100), x[:100]), 5)
+    numbers = topk.Numbers(float(np.abs(x).max()), 8)
+    t = topk.CoverTree(np.arange(len(x)), x, numbers)
+    s = topk.Search(topk.CoverTree(np.arange(100), x[:100], numbers), 5)
     s.add(t)
     assert s.tested < 100 * len(x) * 0.6
 
 
 # pieces
 
-sp = pytest.importorskip("sentencepiece")
-
-
 @pytest.fixture(scope="module")
 def library():
+    sp = pytest.importorskip("sentencepiece")
     return sp.SentencePieceProcessor(model_file=sentpiece.MODEL_PATH)
 
 
