@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import bound_batches, crc_mod, lean, text_slices
+from .common import crc_mod, lean, text_slices
 from .sequence import runs, viterbi
 
 #: Rows that the model is learnt from, whole texts each; languages with fewer rows among them have this many more, if there are.
 LEARN_ROWS, LANGUAGE_ROWS = 4000, 20
 #: Share of a language's letters from which on it uses a script.
 USES = 0.01
+#: Share of a document's words from which on its predicted language stands against a given one.
+SURE = 0.9
 #: Cost of a change of language, in nats.
 PENALTY = 15.0
 SIZE = 1 << 17
@@ -167,11 +169,16 @@ class Model:
         is_letter = np.zeros(len(buf) + 1, np.int64)
         is_letter[at + 1] = kind > 0
         is_letter = np.cumsum(is_letter)
+        may = np.ones(scores.shape, bool)
         for s in range(1, len(SCRIPTS) + 2):
-            # words that hold a letter of a script are left to the languages that use it, if any does
-            if self.uses[:, s].any() and not self.uses[:, s].all() and (hit := at[kind == s]).size:
+            # words that hold a letter of a script are left to the languages that use it
+            if not self.uses[:, s].all() and (hit := at[kind == s]).size:
                 word = np.searchsorted(starts, hit, "right") - 1
-                scores[np.ix_(np.unique(word[word >= 0]), np.flatnonzero(~self.uses[:, s]))] -= 50.0
+                may[np.ix_(np.unique(word[word >= 0]), np.flatnonzero(~self.uses[:, s]))] = False
+        # a word that this leaves to none says nothing: its neighbours decide
+        none = ~may.any(1)
+        scores[none], may[none] = 0.0, True
+        scores[~may] = -np.inf
         best = viterbi(scores, first, penalty)
         best[is_letter[ends] == is_letter[starts]] = -1
         foreign = np.zeros(len(buf) + 1, np.int64)
@@ -215,7 +222,7 @@ def scripts_in_use(docs: DataFrame) -> np.ndarray:
                     letters += np.bincount(number[lo:hi][row] * width + script_table()[cp], minlength=letters.size).reshape(letters.shape)
             yield pa.RecordBatch.from_arrays([pa.array(langs.repeat(width), pa.string()), pa.array(np.tile(np.arange(width, dtype=np.int32), len(langs))), pa.array(letters.ravel())], ["lang", "kind", "n"])
 
-    rows = bound_batches(docs).where("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.where("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(lean(kernel), "lang string, kind int, n long").where("kind > 0").groupBy("lang", "kind").agg(F.sum("n").alias("n"))
     share = F.col("n") >= USES * F.sum("n").over(Window.partitionBy("lang"))
     out = np.zeros(len(SCRIPTS) + 2, bool)
@@ -255,7 +262,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "n_langs", "spans"][: len(cols)])
 
     schema = "doc_id long, lang_pred string, score double, n_langs int" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -264,11 +271,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
-def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """``docs`` (all columns) without those rejected; a null lang is filled in with the prediction.
+def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY, sure: float = SURE) -> DataFrame:
+    """``docs`` (all columns) without those rejected; ``lang`` is the identified language.
 
     Rejected: null, empty and letterless texts, and texts without a lang most of whose letters are of scripts that no
-    language of ``docs`` or of the model uses; if none uses any, no text goes by its script. Two passes over the rows,
+    language of ``docs`` or of the model uses; if none uses any, no text goes by its script. A null lang is filled in with the prediction; a lang is
+    replaced by it where the predicted language has a share of at least ``sure``. Two passes over the rows,
     the first for the scripts of the labelled ones; only its sums are shuffled.
     """
     model = copy(model)
@@ -277,17 +285,20 @@ def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
+        names = np.array(m.langs, object)
         for batch in batches:
             at = batch.schema.get_field_index("lang")
             for lo, hi, buf, offs in text_slices(batch):
                 starts, ends, first, best, foreign = m.label(buf, offs, penalty)
                 shown, total = m.document_views(starts, ends, first, best)
                 top = np.where(shown[:, :, 0] > 0, shown @ m.frame, -1).argmax(1)
+                share = shown[np.arange(hi - lo), top, 0]
                 part = batch.slice(lo, hi - lo)
-                lang = part.column(at).fill_null("")
-                guess = pa.array(np.array(m.langs, object)[top], lang.type)
-                clear = (foreign <= 0.5) | (not m.known.any()) | pc.is_valid(part.column(at)).to_numpy(zero_copy_only=False)
-                part = part.set_column(at, batch.schema.field(at), pc.if_else(pc.equal(lang, ""), pc.if_else(part.column(at).is_null(), guess, lang), lang))
+                lang = part.column(at)
+                given = pc.is_valid(lang).to_numpy(zero_copy_only=False)
+                clear = (foreign <= 0.5) | (not m.known.any()) | given
+                learnt = m.langs != ["und"]
+                part = part.set_column(at, batch.schema.field(at), pc.if_else(pa.array((share >= sure) & learnt | ~given), pa.array(names[top], lang.type), lang))
                 yield part.filter(pa.array((total > 0) & clear))
 
-    return bound_batches(docs).mapInArrow(lean(kernel), docs.schema)
+    return docs.mapInArrow(lean(kernel), docs.schema)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import bound_batches, crc_mod, lean, text_slices
+from .common import Scratch, crc_mod, lean, text_slices
 
 #: Labelled rows of each class that the ranking is learnt from at most, and preference pairs of one document.
 LEARN_ROWS, PAIRS_EACH = 2000, 20
+#: Share of the documents that the quantile threshold lets go.
+DROP_SHARE = 0.25
 
 _UPPER, _LOWERC, _DIGIT, _PUNCT, _SYMBOL, _HIGH = (np.zeros(256, bool) for _ in range(6))
 _UPPER[65:91] = _LOWERC[97:123] = _DIGIT[48:58] = _HIGH[128:] = True
@@ -131,7 +133,7 @@ def _text_features(docs: DataFrame) -> DataFrame:
                 x = features(buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, x array<double>")
 
 
 def learn_ranking(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Ranking:
@@ -164,19 +166,23 @@ def rank(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 x = features(buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(held.value.strength(x)), pa.array(held.value.scores(x))], ["doc_id", "strength", "score"])
 
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, strength double, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), "doc_id long, strength double, score double")
 
 
-def keep_above_quantile(ranked: DataFrame, share: float) -> DataFrame:
-    """``ranked`` with ``kept``: whether the score reaches the quantile below which ``share`` of the rows lie.
+def keep_above_quantile(ranked: DataFrame, share: float = DROP_SHARE) -> DataFrame:
+    """``ranked`` (a table that is there to be read twice) with ``kept``: whether the score reaches the quantile below which ``share`` of the rows lie.
 
-    The cut is one number from a quantile sketch (relative rank error 1e-4); ties with it stay.
+    The cut is one number, from a quantile sketch (relative rank error 1e-4); ties with it stay. No rows give none.
     """
-    cut = ranked.agg(F.percentile_approx("score", F.lit(share), 10000).alias("cut"))
-    return ranked.crossJoin(F.broadcast(cut)).withColumn("kept", F.col("score") >= F.col("cut")).drop("cut")
+    cut = ranked.agg(F.percentile_approx("score", F.lit(share), 10000)).first()[0]
+    return ranked.withColumn("kept", F.col("score") >= F.lit(cut).cast("double"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Learn on the rows that are not held out, then score all: doc_id, held_out, score, predicted, strength."""
-    out = rank(docs, learn_ranking(docs, labels))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "strength")
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, share: float = DROP_SHARE) -> DataFrame:
+    """Learn on the rows that are not held out, then score all: doc_id, held_out, score, predicted, strength, kept.
+
+    ``kept``: the score reaches the quantile of all scores below which ``share`` of them lie.
+    """
+    ranked = Scratch(docs.sparkSession, "quality").save(rank(docs, learn_ranking(docs, labels)), "ranked")
+    out = keep_above_quantile(ranked, share)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "strength", "kept")

@@ -43,7 +43,7 @@ def op8_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentpiece.encode(table(spark, sf_dir, "documents"), ids=False)
+    return sentpiece.encode(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

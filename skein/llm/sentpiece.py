@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORKER_TABLES, Scratch, bound_batches, free_worker_tables, give_back_heap, lean
+from .common import WORKER_TABLES, Scratch, free_worker_tables, lean
 
 #: Where the public vocabulary file lies, unless given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -651,8 +651,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids: bool = Tr
     if chunk < 4 * v.longest:
         raise ValueError("a chunk must be longer than four of the longest pieces")
     held = spark.sparkContext.broadcast(v)
-    give_back_heap(spark)
-    base = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     short = base.where(F.length(F.coalesce("text", F.lit(""))) < chunk).mapInArrow(lean(_short(held, ids)), _OUT + ", ids array<int>" * ids)
 
     scratch = Scratch(spark, "pieces")

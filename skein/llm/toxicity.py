@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import bound_batches, crc_mod, lean, text_slices
+from .common import crc_mod, lean, text_slices
 from .sequence import forward_backward, marginals, runs
 
 #: Labelled rows of each class that the field is learnt from at most, whole texts each.
@@ -184,10 +184,10 @@ def tag(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_toxic", "spans"][: len(cols)])
 
     schema = "doc_id long, score double, n_toxic long" + ", spans array<struct<start:long,end:long>>" * spans
-    return bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(kernel), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Learn on the rows that are not held out, then score all: doc_id, held_out, score, predicted, n_toxic."""
-    out = tag(docs, learn_field(docs, labels))
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic")
+    """Learn on the rows that are not held out, then score all: doc_id, held_out, score, predicted, n_toxic, spans."""
+    out = tag(docs, learn_field(docs, labels), spans=True)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic", "spans")
