@@ -145,6 +145,8 @@ class Model:
         total = cover.sum(1)
         out = np.zeros((size, k, 3))
         out[:, :, 0] = cover / np.maximum(total, 1)[:, None]
+        if not len(ok):
+            return out, total
         rows, at = np.unique(row[ok], return_index=True)
         out[rows, best[ok[at]], 1] = 1
         last = np.append(at[1:], len(ok)) - 1

@@ -71,6 +71,22 @@ class Field:
             out[:-1] += np.where(same, self.right[seen[0, 1:]], 0)
         return out
 
+    def gradient(self, seen: np.ndarray, first: np.ndarray, want: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the log likelihood of the token states ``want`` (0 or 1): what they show less what the field expects, for each weight."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        same, word = row[1:] == row[:-1], seen[0]
+        shown = np.bincount(want[:-1][same].astype(int) * 2 + want[1:][same].astype(int), minlength=4).reshape(2, 2).astype(float)
+        odds = self.odds(seen, first)
+        p, ahead, behind = forward_backward(odds, first, self.trans)
+        d = want - p
+        # expected transitions from the two messages and the potentials
+        a, b = ahead[:-1][same], (odds[1:] + behind[1:])[same]
+        logits = np.stack([self.trans[0, 0] + 0 * a, self.trans[0, 1] + b, self.trans[1, 0] + a, self.trans[1, 1] + a + b])
+        logits -= logits.max(0)
+        q = np.exp(logits)
+        joint = (q / q.sum(0)).sum(1).reshape(2, 2)
+        return {"word": sum(np.bincount(view, d, SIZE) for view in seen), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": shown - joint}
+
     @staticmethod
     def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Features of a document's marginals: 1, chance of any toxic token, log1p of their expected number, density."""
@@ -95,7 +111,6 @@ class Field:
         if not parts or not sum(w.shape[1] for w, _, _ in parts):
             return f
         seen = np.concatenate([w for w, _, _ in parts], axis=1)
-        word = seen[0]
         sizes = np.concatenate([np.diff(x) for _, x, _ in parts])
         labels = [v for _, _, v in parts]
         del parts
@@ -113,23 +128,10 @@ class Field:
         want = (seed[seen].any(0) & (y[row] == 1)).astype(np.float64)
         if not want.any():
             return f
-        same = row[1:] == row[:-1]
-        now, nxt = want[:-1][same].astype(int), want[1:][same].astype(int)
-        pairs = np.bincount(now * 2 + nxt, minlength=4).reshape(2, 2).astype(float)
         g2 = {k: np.full(np.shape(getattr(f, k)), 1e-6) for k in ("word", "left", "right", "bias", "trans")}
         f.bias = -4.0
         for _ in range(rounds):
-            odds = f.odds(seen, first)
-            p, ahead, behind = forward_backward(odds, first, f.trans)
-            d = want - p
-            # expected transitions from the two messages and the potentials
-            a, b = ahead[:-1][same], (odds[1:] + behind[1:])[same]
-            logits = np.stack([f.trans[0, 0] + 0 * a, f.trans[0, 1] + b, f.trans[1, 0] + a, f.trans[1, 1] + a + b])
-            logits -= logits.max(0)
-            q = np.exp(logits)
-            joint = (q / q.sum(0)).sum(1).reshape(2, 2)
-            grads = {"word": sum(np.bincount(view, d, SIZE) for view in seen), "left": np.bincount(word[:-1][same], d[1:][same], SIZE), "right": np.bincount(word[1:][same], d[:-1][same], SIZE), "bias": d.sum(), "trans": pairs - joint}
-            for k, g in grads.items():
+            for k, g in f.gradient(seen, first, want).items():
                 g = g - ridge * np.asarray(getattr(f, k)) * len(y)
                 g2[k] = g2[k] + g * g
                 step = rate * g / np.sqrt(g2[k])

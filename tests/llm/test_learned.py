@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skein.llm import langid, quality, sequence, toxicity
 
@@ -113,3 +114,82 @@ def test_viterbi_and_forward_backward_match_enumeration():
             total += w
             hit += w * np.array(y)
         assert b == a or np.allclose(p[a:b], hit / total)
+
+
+def test_field_gradient_is_that_of_the_enumerated_likelihood():
+    """Log likelihood by all paths, differentiated by finite differences, for every kind of weight."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    text = "ab cd ab ef|cd ab|ef ef cd ab cd".encode()
+    parts = text.split(b"|")
+    buf, offs = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    seen, _, _, first = toxicity.tokens(buf, offs)
+    f = toxicity.Field()
+    used = np.unique(seen)
+    for k in ("word", "left", "right"):
+        getattr(f, k)[used] = rng.normal(size=len(used)).astype(np.float32)
+    f.bias, f.trans = 0.3, rng.normal(size=(2, 2))
+    want = rng.integers(0, 2, seen.shape[1]).astype(float)
+
+    def likelihood():
+        odds, total = f.odds(seen, first), 0.0
+        for a, b in zip(first, first[1:], strict=False):
+            energy = lambda y: sum(odds[a + i] * v for i, v in enumerate(y)) + sum(f.trans[int(u), int(v)] for u, v in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            total += energy(want[a:b]) - np.log(sum(np.exp(energy(y)) for y in itertools.product((0, 1), repeat=b - a)))
+        return total
+
+    g, step = f.gradient(seen, first, want), 1e-2
+    for name, at in [*[(k, i) for k in ("word", "left", "right") for i in used[:4]], *[("trans", (i, j)) for i in (0, 1) for j in (0, 1)]]:
+        w = getattr(f, name)
+        keep = w[at]
+        w[at] = keep + step
+        up = likelihood()
+        w[at] = keep - step
+        down = likelihood()
+        w[at] = keep
+        assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3
+    f.bias += step
+    up = likelihood()
+    f.bias -= 2 * step
+    assert abs((up - likelihood()) / (2 * step) - g["bias"]) < 2e-3
+
+
+def test_preference_weights_are_where_the_pair_loss_is_least():
+    from skein.llm import learn
+
+    rng = np.random.default_rng(8)
+    d = rng.normal(size=(300, 4)) + [0.5, 0, -0.2, 0]  # features of the preferred less those of the other
+    w = learn.logistic(d, np.ones(300), ridge=3.0)
+    loss = lambda v: np.log1p(np.exp(-d @ v)).sum() + 1.5 * v @ v
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-4
+        assert abs(loss(w + e) - loss(w - e)) < 1e-6 and loss(w + 100 * e) > loss(w) < loss(w - 100 * e)
+    x = np.concatenate([rng.normal(size=(60, len(quality.NAMES))) + 1, rng.normal(size=(60, len(quality.NAMES)))])
+    r = quality.Ranking.fit(x, np.repeat([1, 0], 60))
+    s = r.strength(x)
+    assert (s[:60, None] > s[None, 60:]).mean() > 0.95 and (np.argsort(s) == np.argsort(r.scores(x))).all()
+
+
+def test_missing_ids_and_repeated_rows_are_scored(spark):
+    """Rows without a doc_id, and rows that share one, get a result each; other columns do not matter."""
+    d, labels, _ = corpus(spark)
+    extra = spark.createDataFrame([(None, "ka nasty lo vilelo"), (None, None), (3, "KA!! LO!!"), (3, "ka lo mi tu ka lo")], "doc_id long, text string")
+    both = d.unionByName(extra, allowMissingColumns=True)
+    for out in (toxicity.score_documents(both, labels), quality.score_documents(both, labels), langid.identify_documents(both)):
+        rows = out.collect()
+        assert len(rows) == 251 and sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 3 for r in rows) == 3
+        assert all(r.score is not None and 0 <= r.score <= 1 for r in rows)
+
+
+def test_scripts_narrow_for_good(spark):
+    """One word of another script is never given to a language without that script, however long it is; unknown scripts say nothing."""
+    rows = [(i, "kalo mitu lomi kami tulo mika " * 5, "xx") for i in range(40)] + [(100 + i, "καλημέρα κόσμε και πάλι " * 5, "el") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn_model(d)
+    texts = [(1, "kalo mitu " * 20 + "κ" * 4000), (2, "ω" * 3000 + " kalo"), (3, "שלום " * 50 + "kalo mitu lomi " * 3), (4, "שלום " * 50), (5, "kaλo")]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model, spans=True).collect()}
+    assert [s.lang for s in out[1].spans] == ["xx", "el"] and out[2].lang_pred == "el" and out[3].lang_pred == "xx"
+    assert out[4].lang_pred in ("xx", "el") and out[5].lang_pred in ("xx", "el")
+    wrong = d.where("lang = 'xx'").limit(5).withColumn("lang", F.lit("el"))
+    assert {r.lang for r in langid.keep_known_languages(wrong, model).collect()} == {"xx"}

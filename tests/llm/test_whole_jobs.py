@@ -54,3 +54,58 @@ def test_any_number_of_sources(spark):
     out = mixing.mix(d, block=10).toPandas()
     assert sorted(out["doc_id"]) == list(range(5000)) and out["source"].nunique() == 2500
     assert out["slot"].notna().all() and out.groupby("slot")["source"].nunique().max() == 1
+
+
+def earliest_deadline_first(weights, n):
+    """Slot by slot over all sources, in fractions: of the released blocks the one of the earliest deadline, ties by source."""
+    from fractions import Fraction
+
+    w = [Fraction(x) for x in weights]
+    total = sum(w)
+    w = [x / total for x in w]
+    done, out = [0] * len(w), []
+    for t in range(n):
+        ready = [(-(-(done[i] + 1) // x), i) for i, x in enumerate(w) if x and done[i] // x <= t]
+        _, i = min(ready)
+        out.append((i, done[i], t))
+        done[i] += 1
+    return out
+
+
+def test_schedule_equals_a_plain_scheduler_and_keeps_the_given_weights():
+    from itertools import islice
+
+    hot = [0.5, *[0.5 / 500] * 500]
+    tiny = [0.7, 0.29999, 0.00001]
+    for weights, n in ((hot, 1200), (tiny, 3000), ([0.5, 0.0, 0.25, 0.25], 400), ([3.0, 1e-9, 2.0], 500)):
+        plan = list(islice(mixing.slots(mixing.whole_numbers(weights), [10**9] * len(weights)), n))
+        assert plan == earliest_deadline_first(weights, n)
+    for weights in (hot, tiny):
+        w = np.array(weights) / sum(weights)
+        done, far = np.zeros(len(w)), 0.0
+        for t, (i, _, slot) in enumerate(islice(mixing.slots(mixing.whole_numbers(weights), [10**9] * len(w)), 60_000)):
+            assert slot == t
+            done[i] += 1
+            if t % 97 == 0:
+                far = max(far, np.abs(done - w * (t + 1)).max())
+        assert far < 1 + 1e-6
+    # a weight of 0 has no slot while others have blocks, and comes after them
+    plan = list(mixing.slots(mixing.whole_numbers([1.0, 0.0, 1.0]), [3, 2, 5]))
+    assert [i for i, _, _ in plan[-2:]] == [1, 1] and len(plan) == 10
+
+
+def test_mixing_query_equals_a_plain_computation(spark, sf):
+    """op3 over a whole table: running sizes in hash order per source, blocks, and the plain scheduler's slots."""
+    from skein.llm import queries
+
+    out = queries.queries()["op3_pfair_mixing"](spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "coalesce(source, '(none)') AS source", "length(coalesce(text, '')) AS size", "xxhash64('mix', doc_id) AS turn").toPandas()
+    assert sorted(out["doc_id"]) == sorted(docs["doc_id"])
+    docs = docs.sort_values(["source", "turn", "doc_id"])
+    docs["start"] = docs.groupby("source")["size"].cumsum() - docs["size"]
+    both = out.merge(docs, on="doc_id", suffixes=("", "_plain"))
+    assert (both["source"] == both["source_plain"]).all() and (both["start"] == both["start_plain"]).all() and (both["block"] == both["start"] // mixing.BLOCK).all()
+    sizes = docs.groupby("source")["size"].sum()
+    names = sorted(sizes.index)
+    slots = {(names[i], j): t for i, j, t in mixing.slots(mixing.whole_numbers([float(sizes[n]) ** 0.5 for n in names]), [int(sizes[n]) // mixing.BLOCK + 1 for n in names])}
+    assert [slots[s, b] for s, b in zip(both["source"], both["block"], strict=True)] == both["slot"].tolist()
