@@ -89,8 +89,9 @@ def forget_table(spark: SparkSession, name: str) -> DataFrame:
     return out
 
 
-#: A group with more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE such groups.
-HOT_SHARE = 1e-3
+#: A group with more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE such groups. Tables of no more than
+#: HOT_LEAST rows have none: a task can hold them whole.
+HOT_SHARE, HOT_LEAST = 1e-3, 20_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
@@ -99,6 +100,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     Hot groups are at most a thousand and are broadcast, so that their rows stay where they are; the others are merged.
     Both sides are read twice.
     """
+    if total <= HOT_LEAST:
+        return rows.hint("merge").join(groups, keys)
     hot = F.col(size) > total * HOT_SHARE
     few = groups.where(hot)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").hint("merge").join(groups.where(~hot), keys)

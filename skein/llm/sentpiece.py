@@ -34,8 +34,8 @@ from .common import WORKER_TABLES, Scratch, free_worker_tables, lean
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of one chunk; longer texts are cut.
 CHUNK = 32_768
-#: Units, and neighbour tests, that a worker remembers before it starts anew.
-MEMORY, TESTS = 1 << 18, 1 << 18
+#: Units, their characters, and neighbour tests, that a worker remembers before it starts anew.
+MEMORY, MEMORY_CHARS, TESTS = 1 << 18, 1 << 23, 1 << 18
 SPACE = "▁"
 _HASH_BASE = 0x9E3779B97F4A7C15 | 1
 NO_PATH = -math.inf
@@ -436,6 +436,7 @@ class UnitTable:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.met = np.zeros(0, np.int64)
         self.count, self.hash, self.fallback, self.same, self.flat = array("I"), array("Q"), array("I"), array("B"), array("i")
 
@@ -458,6 +459,7 @@ class UnitTable:
         self.fallback.append(fallback)
         self.same.append(back == unit)
         self.number[unit] = len(self.count) - 1
+        self.chars += len(unit)
         return len(self.count) - 1
 
     def free(self) -> None:
@@ -480,7 +482,7 @@ class UnitTable:
         place = dict(zip(keep.tolist(), range(len(keep)), strict=True))
         number = {u: place[k] for u, k in self.number.items() if k in place}
         self.clear()
-        self.number = number
+        self.number, self.chars = number, sum(map(len, number))
         for x, values in zip((self.count, self.hash, self.fallback, self.same), old, strict=True):
             x.frombytes(values.tobytes())
         self.flat.extend(int(i) for i in flat)
@@ -499,7 +501,7 @@ class UnitTable:
             yield n, b, h, same and SPACE not in text, at
 
     def encode_escaped(self, texts: Iterable[str]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
-        if len(self.number) > MEMORY:
+        if len(self.number) > MEMORY or self.chars > MEMORY_CHARS:
             self.forget()
         numbers = []
         for text in texts:

@@ -268,3 +268,24 @@ def test_pipeline_stages_keep_columns(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
     assert out.where("NOT round_trip").count() == 0
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path, library):
+    """All five stages on awkward rows, against plain Python: letters, one of equal texts, one of linked texts, every source, the library's ids."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from test_exact_and_near import brute_exact, brute_near
+
+    rnd = random.Random(12)
+    words = ["kalo", "mitu", "lomi", "kami", "tulo", "mika", "nasa", "pelo"]
+    text = lambda n: " ".join(rnd.choice(words) + str(rnd.randint(0, 99)) for _ in range(n))
+    base = [text(rnd.randint(8, 60)) for _ in range(25)]
+    texts = base + [b + " more" for b in base[:10]] + [b.replace(" ", "  ") for b in base[5:12]] + [None, "", "12 34", "?!", base[0], "kalo " * 9000]
+    rows = [(3 * i + 1, t, "xx" if i % 4 else None, f"s{min(3, i % 7)}" if i % 9 else None, 1, "clash") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    left = [(i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or "")]
+    kept = {i for i, _, _, stays, _ in brute_exact(left) if stays}
+    kept = {i for i, _, _, stays in brute_near([(i, t) for i, t in left if i in kept]) if stays}
+    known = dict(left)
+    assert sorted(r.doc_id for r in out) == sorted(kept)
+    assert all(r.ids == library.encode(known[r.doc_id]) and r.n_tokens == len(r.ids) and r.round_trip for r in out)
