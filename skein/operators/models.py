@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The library's own limit for tree depth; deeper requests are cut to it.
 MAX_DEPTH = 30
+#: Relative change at which the linear SVM's iterations end.
+TOLERANCE = 1e-4
 #: (depth, trees) of the forests that the pipelines use.
 FORESTS = {"markov_family": (8, 51), "markov_package": (64, 101), "centrality": (8, 100), "traces": (30, 128)}
 
@@ -29,7 +31,7 @@ def linear_svm(label: str = "label", features: str = "features", c: float = 1.0,
 
     Without ``rows`` use ``SummedSVC``, which counts the rows that it is fitted on.
     """
-    return LinearSVC(labelCol=label, featuresCol=features, maxIter=max_iter, regParam=1 / (c * (rows or 1)), standardization=False)
+    return LinearSVC(labelCol=label, featuresCol=features, maxIter=max_iter, tol=TOLERANCE, regParam=1 / (c * (rows or 1)), standardization=False)
 
 
 class SummedSVC(Estimator):
