@@ -114,6 +114,30 @@ def free_names(df: DataFrame, n: int) -> list[str]:
     return [x for x in (f"_skein{i}" for i in range(n + len(taken))) if x not in taken][:n]
 
 
+def without_rows(docs: DataFrame, rows: DataFrame, gone: Column, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows for which ``gone`` holds in ``rows`` (doc_id, text_key, ...), which has one row for each of theirs.
+
+    Rows go by id and text. Where no id has two texts, the ids alone say the same, and are fewer bytes to send.
+    """
+    keys = ["doc_id", "text_key"]
+    several = rows.groupBy("doc_id").agg((F.min("text_key") < F.max("text_key")).alias("several")).where("several")
+    a, b = free_names(docs, 2)
+    if several.isEmpty():
+        out = scratch.save(rows.where(gone).select("doc_id").distinct(), "gone")
+        return docs.withColumn(a, F.col("doc_id").cast("long")).join(out.withColumnRenamed("doc_id", b), F.col(a).eqNullSafe(F.col(b)), "left_anti").select(*docs.columns)
+    out = scratch.save(rows.where(gone).select(*keys).distinct(), "gone").toDF(f"{a}g", f"{b}g")
+    return keyed(docs, a, b).join(out, same_row(a, b), "left_anti").select(*docs.columns)
+
+
+def keyed(docs: DataFrame, a: str, b: str) -> DataFrame:
+    """``docs`` with the id as ``a`` and a hash of the text as ``b``."""
+    return docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+
+
+def same_row(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(f"{a}g")) & (F.col(b) == F.col(f"{b}g"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, forget_table, free_names, join_groups, shared_dir
+from .common import Scratch, forget_table, free_names, join_groups, keyed, same_row, shared_dir, without_rows
 
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
@@ -125,13 +125,11 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "exact-kept")
     rows = scratch.save(_judged(docs, None).select("doc_id", "text_key", "kept"), "rows")
-    gone = rows.where("NOT kept").select("doc_id", "text_key").distinct()
     twice = scratch.save(rows.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    left = without_rows(docs, rows, ~F.col("kept"), scratch)
+    if twice.isEmpty():
+        return left
     a, b = free_names(docs, 2)
-    keyed = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    named = lambda t: t.select(F.col("doc_id").alias(f"{a}g"), F.col("text_key").alias(f"{b}g"))
-    same = F.col(a).eqNullSafe(F.col(f"{a}g")) & (F.col(b) == F.col(f"{b}g"))
-    left = keyed.join(named(gone), same, "left_anti")
-    if not twice.isEmpty():
-        left = left.join(named(twice), same, "left_anti").unionByName(left.join(named(twice), same, "left_semi").dropDuplicates([a, b]))
-    return left.select(*docs.columns)
+    left, more = keyed(left, a, b), twice.toDF(f"{a}g", f"{b}g")
+    one = left.join(more, same_row(a, b), "left_semi").dropDuplicates([a, b])
+    return left.join(more, same_row(a, b), "left_anti").unionByName(one).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import crc_mod, lean, text_slices
+from .common import Scratch, crc_mod, lean, text_slices
 from .sequence import runs, viterbi
 
 #: Rows that the model is learnt from, whole texts each; languages with fewer rows among them have this many more, if there are.
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     """Learn on the documents that are not held out, then predict all: doc_id, held_out, lang_pred, score, n_langs."""
-    out = identify(docs, learn_model(docs))
+    out = Scratch(docs.sparkSession, "languages").save(identify(docs, learn_model(docs)), "identified")
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
@@ -303,4 +303,4 @@ def keep_known_languages(docs: DataFrame, model: Model, penalty: float = PENALTY
                 part = part.set_column(at, batch.schema.field(at), pc.if_else(pa.array((share >= sure) & learnt | ~given), pa.array(names[top], lang.type), lang))
                 yield part.filter(pa.array((total > 0) & clear))
 
-    return docs.mapInArrow(lean(kernel), docs.schema)
+    return Scratch(docs.sparkSession, "languages").save(docs.mapInArrow(lean(kernel), docs.schema), "kept")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import Scratch, free_names, join_groups, lean, text_slices
+from .common import Scratch, join_groups, lean, text_slices, without_rows
 from .components import components
 
 #: Minima whose low bits are kept; bands and the minima of each (the first BANDS * ROWS); low bits kept of one.
@@ -244,7 +244,5 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     an id is linked to them.
     """
     scratch = Scratch(docs.sparkSession, "neardup-kept")
-    gone = scratch.save(_judged(docs, scratch).where("NOT kept").select("doc_id", "text_key").distinct(), "gone")
-    a, b = free_names(docs, 2)
-    keyed = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return keyed.join(gone, F.col(a).eqNullSafe(gone.doc_id) & (F.col(b) == gone.text_key), "left_anti").select(*docs.columns)
+    rows = scratch.save(_judged(docs, scratch).select("doc_id", "text_key", "kept"), "rows")
+    return without_rows(docs, rows, ~F.col("kept"), scratch)

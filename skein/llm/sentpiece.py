@@ -664,7 +664,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids: bool = Tr
     states = scratch.save(matrices.groupBy("row").applyInPandas(_scan, "row long, k int, i int, j int"), "states")
     solved = parts.join(states, ["row", "k"]).mapInPandas(lean(_backtrace(held, ids)), "row long, doc_id long, k int, n long, b long, h long, same boolean, ids array<int>")
     whole = solved.groupBy("row").applyInPandas(_join(ids), "row long, " + _OUT + ", ids array<int>" * ids).drop("row")
-    return short.unionByName(whole)
+    return scratch.save(short.unionByName(whole), "encoded")
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids") -> DataFrame:

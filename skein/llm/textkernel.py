@@ -32,7 +32,7 @@ def byte_values(lower: bool) -> np.ndarray:
     return v[LOWER] if lower else v
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n, _BASE, _U)]))
@@ -42,7 +42,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` + 1 of them."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    size = 1 << max(21, int(n).bit_length())
+    # what a very long text needs is not kept
+    return _powers(size) if size == 1 << 21 else _powers.__wrapped__(size)
 
 
 def prefix_hash(buf: np.ndarray, lower: bool = False) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import learn
 from . import textkernel as tk
-from .common import crc_mod, lean, text_slices
+from .common import Scratch, crc_mod, lean, text_slices
 from .sequence import forward_backward, marginals, runs
 
 #: Labelled rows of each class that the field is learnt from at most, whole texts each.
@@ -191,5 +191,5 @@ def tag(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Learn on the rows that are not held out, then score all: doc_id, held_out, score, predicted, n_toxic, spans."""
-    out = tag(docs, learn_field(docs, labels), spans=True)
+    out = Scratch(docs.sparkSession, "toxicity").save(tag(docs, learn_field(docs, labels), spans=True), "tagged")
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic", "spans")
