@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -67,16 +69,22 @@ def with_components(k: int = 10, features: str = "features", out: str = "compone
     return [StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False), PCA(k=k, inputCol="_centred", outputCol=out)]
 
 
+def fitted_side_by_side(one: Callable[[int], DataFrame], n: int, at_once: int = 4) -> DataFrame:
+    """The union of ``one(i)`` for n models, some of which are fitted at once: their jobs are short and leave cores idle."""
+    with ThreadPool(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(n)))
+
+
 def cross_validate(df: DataFrame, stages: Sequence[Estimator], k: int, fold: str = "fold", keep: Sequence[str] = ("id", "fold", "label")) -> DataFrame:
     """Predictions of every row by the model of the other folds."""
-    out = None
-    for i in range(k):  # one model per fold: folds are few and each fit is a distributed job
+
+    def one(i: int) -> DataFrame:
         model = Pipeline(stages=list(stages)).fit(df.where(F.col(fold) != i))
         p = model.transform(df.where(F.col(fold) == i))
         score = vector_to_array("probability")[1] if "probability" in p.columns else vector_to_array("rawPrediction")[1]
-        p = p.select(*keep, F.col("prediction").alias("pred"), score.alias("score"))
-        out = p if out is None else out.unionByName(p)
-    return out
+        return p.select(*keep, F.col("prediction").alias("pred"), score.alias("score"))
+
+    return fitted_side_by_side(one, k)
 
 
 def hold_out(df: DataFrame, stages: Sequence[Estimator], part: str = "part") -> DataFrame:

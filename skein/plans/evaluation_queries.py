@@ -91,12 +91,13 @@ def _labelled_text(spark, sf_dir):
 
 def bow_svm(spark, sf_dir):
     """Ten hold-outs, each with a vocabulary of its own training rows."""
-    runs, out = split.hold_outs(_labelled_text(spark, sf_dir), "id"), None
-    for run in range(10):  # one model per hold-out
+    runs = split.hold_outs(_labelled_text(spark, sf_dir), "id")
+
+    def one(run):
         p = models.hold_out(runs.where(F.col("run") == run), [models.binary_bag(), models.SummedSVC()])
-        p = p.select(F.lit(run).alias("fold"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
-        out = p if out is None else out.unionByName(p)
-    return evaluate.confusion(out)
+        return p.select(F.lit(run).alias("fold"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+
+    return evaluate.confusion(models.fitted_side_by_side(one, 10))
 
 
 def binary_bow_vocab(spark, sf_dir):
