@@ -166,3 +166,17 @@ def test_components_of_a_path_and_a_star(spark, n):
     links = [(i, i + 1) for i in range(n)] + [(500, 600 + i) for i in range(n)] + [(7000, 7000)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {500: 500} | {600 + i: 500 for i in range(n)}
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    """A group of a third of all rows and many small ones: the same rows as by a plain join, whichever way is taken."""
+    from skein.llm import common
+
+    rows = spark.range(900).selectExpr("id", "IF(id % 3 = 0, -1, id div 4) AS k").repartition(5)
+    groups = rows.groupBy("k").agg({"id": "min", "k": "count"}).toDF("k", "least", "n").where("k <> 7")
+    want = sorted((r.id, r.least, r.n) for r in rows.join(groups, "k").collect())
+    for least in (0, 10_000):
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+        out = common.join_groups(rows, groups, ["k"], "n", 900)
+        assert sorted((r.id, r.least, r.n) for r in out.collect()) == want
