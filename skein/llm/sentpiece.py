@@ -186,31 +186,42 @@ class Vocabulary:
         return self.trace(self.reach(text, 0, "", len(text)), len(text))
 
     def solve_ids(self, text: str) -> list[int]:
-        """Their ids, walked in the trie; for texts whose characters all are pieces."""
-        n, fits, root = len(text), self.fits, self.trie()
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        base = 0
-        for q in range(n):
-            if q:
-                if last[q] < 0:
-                    continue
-                base = (last[q] + 1) * 65536
-            node = root
-            for p in range(q, n):
-                node = node.get(text[p])
+        """Their ids, walked in the trie; for texts whose characters all are pieces.
+
+        Depth first, the longest piece first. A position that was reached needs no second visit: what leads to it is
+        the encoding of the text before it, and there is only one.
+        """
+        n, fits, root, pieces, longest = len(text), self.fits, self.trie(), self.pieces, self.longest
+        seen = bytearray(n + 1)
+        out, back = [], []
+        q = base = 0
+        while q < n:
+            node, found = root, []
+            for p, c in enumerate(text[q : q + longest], q + 1):
+                node = node.get(c)
                 if node is None:
                     break
-                if last[p + 1] < 0:
-                    at = node.get("")
-                    if at is not None:
-                        ok = fits.get(base + at)
-                        if ok or (ok is None and self.fit(self.pieces[last[q]] if q else "", self.pieces[at])):
-                            last[p + 1], begin[p + 1] = at, q
-        out = []
-        while n:
-            out.append(last[n])
-            n = begin[n]
-        out.reverse()
+                at = node.get("")
+                if at is not None and not seen[p]:
+                    found.append((at, p))
+            while True:
+                while found:
+                    at, p = found.pop()
+                    ok = fits.get(base + at)
+                    if ok is None:
+                        ok = self.fit(pieces[out[-1]] if out else "", pieces[at])
+                    if ok and not seen[p]:
+                        break
+                else:  # a dead end
+                    found, q = back.pop()
+                    out.pop()
+                    base = (out[-1] + 1) * 65536 if out else 0
+                    continue
+                break
+            seen[p] = 1
+            back.append((found, q))
+            out.append(at)
+            q, base = p, (at + 1) * 65536
         return out
 
     @staticmethod
@@ -507,11 +518,11 @@ class UnitTable:
         for text in texts:
             units = self.split.findall(text)
             at = list(map(self.number.get, units))
-            if None in at:
-                for i, k in enumerate(at):
-                    if k is None:
-                        k = self.number.get(units[i])
-                        at[i] = self.add(units[i]) if k is None else k
+            i = -1
+            for _ in range(at.count(None)):
+                i = at.index(None, i + 1)
+                k = self.number.get(units[i])
+                at[i] = self.add(units[i]) if k is None else k
             numbers.append(np.array(at, np.int64))
         if numbers:
             now = np.bincount(np.concatenate(numbers), minlength=len(self.count))

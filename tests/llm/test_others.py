@@ -247,6 +247,13 @@ def test_encode_and_decode_tables(spark, library):
     assert sentpiece.encode(d.where("doc_id < 0")).count() == 0
 
 
+def test_a_unit_that_is_a_piece_takes_one_test(vocabulary):
+    piece = max((p for p in vocabulary.ids if p.isascii() and p.isalpha()), key=len)
+    vocabulary.fits.clear()
+    assert vocabulary.solve_ids(piece) == [vocabulary.ids[piece]]
+    assert len(vocabulary.fits) == 1
+
+
 def test_pipeline_stages_keep_columns(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash_near_dedup", "source_mixing", "piece_encoding"]
