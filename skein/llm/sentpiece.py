@@ -34,6 +34,8 @@ from .common import WORKER_TABLES, Scratch, free_worker_tables, lean
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of one chunk; longer texts are cut.
 CHUNK = 32_768
+#: Chunks whose pieces are found and sent on at once.
+CHUNKS_AT_ONCE = 16
 #: Units, their characters, and neighbour tests, that a worker remembers before it starts anew.
 MEMORY, MEMORY_CHARS, TESTS = 1 << 18, 1 << 23, 1 << 18
 SPACE = "▁"
@@ -549,18 +551,15 @@ def _signed(h: int) -> int:
 def _short(held, ids: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = unit_table(held.value, ids)
-        for batch in batches:
-            rows, lists = [], [np.zeros(0, np.int32)]
-            for lo in range(0, len(batch), 256):
-                got = list(t.encode([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]))
-                rows += [(n, b, _signed(h), same) for n, b, h, same, _ in got]
-                if ids and got:
-                    lists.append(t.ids_of(np.concatenate([at for *_, at in got])))
-            n, b, h, same = zip(*rows, strict=True) if rows else ((), (), (), ())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(h, pa.int64()), pa.array(same, pa.bool_())]
-            if ids:
-                cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(np.concatenate(lists))))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_byte_tokens", "ids_hash", "round_trip", "ids"][: len(cols)])
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                batch = whole.slice(lo, 256)
+                got = list(t.encode([x or "" for x in batch.column(1).to_pylist()]))
+                n, b, h, same, at = zip(*got, strict=True)
+                cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array([_signed(x) for x in h], pa.int64()), pa.array(same, pa.bool_())]
+                if ids:
+                    cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(t.ids_of(np.concatenate(at)))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_byte_tokens", "ids_hash", "round_trip", "ids"][: len(cols)])
 
     return kernel
 
@@ -611,14 +610,21 @@ def unit_table(v: Vocabulary, keep_ids: bool) -> UnitTable:
     return WORKER_TABLES[key]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few chunks at once: a batch of a thousand, with their ids, takes hundreds of MB."""
+    for batch in batches:
+        for lo in range(0, len(batch), CHUNKS_AT_ONCE):
+            yield batch.slice(lo, CHUNKS_AT_ONCE)
+
+
 def _backtrace(held, ids: bool):
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
         t = unit_table(v, ids)
         byte = t.byte
-        for batch in batches:
+        for batch in _few(batches):
             out = []
-            for r in batch.itertuples():
+            for r in batch.select(["part", "lo", "hi", "plain", "i", "j"]).to_pandas().itertuples():
                 c = _in_context(v, r)
                 head, tail = c.parts(r.i, r.j)
                 lo, hi = (c.inner[0], c.inner[-1]) if c.inner else (0, 0)
@@ -631,8 +637,11 @@ def _backtrace(held, ids: bool):
                 total = n_all = 0
                 for x, m in ((ids_hash(np.array(sides[0], np.int64)), len(sides[0])), (h, n), (ids_hash(np.array(sides[1], np.int64)), len(sides[1]))):
                     total, n_all = (total + x * pow(_HASH_BASE, n_all, 1 << 64)) % (1 << 64), n_all + m
-                out.append((r.row, r.doc_id, r.k, n_all, b + sum(i in byte for x in sides for i in x), _signed(total), same, [*sides[0], *t.ids_of(at).tolist(), *sides[1]] if ids else None))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "k", "n", "b", "h", "same", "ids"])
+                out.append((n_all, b + sum(i in byte for x in sides for i in x), _signed(total), bool(same), np.concatenate([sides[0], t.ids_of(at), sides[1]]).astype(np.int32) if ids else None))
+            n, b, h, same, lists = zip(*out, strict=True)
+            cols = [batch.column(x) for x in ("row", "doc_id", "k")]
+            cols += [pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(h, pa.int64()), pa.array(same, pa.bool_()), pa.array(lists, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k", "n", "b", "h", "same", "ids"])
 
     return kernel
 
@@ -646,7 +655,7 @@ def _join(ids: bool):
             length += int(n)
         out = {"row": group["row"].iloc[0], "doc_id": group["doc_id"].iloc[0], "n_tokens": length, "n_byte_tokens": int(group["b"].sum()), "ids_hash": _signed(h), "round_trip": bool(group["same"].all())}
         if ids:
-            out["ids"] = [int(i) for part in group["ids"] for i in part]
+            out["ids"] = np.concatenate([np.asarray(x, np.int32) for x in group["ids"]])
         return pd.DataFrame([out])
 
     return kernel
@@ -673,7 +682,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids: bool = Tr
     parts = scratch.save(parts.repartition("row", "k"), "parts")
     matrices = parts.mapInPandas(lean(_matrices(held)), "row long, k int, n int, m int, w array<double>")
     states = scratch.save(matrices.groupBy("row").applyInPandas(_scan, "row long, k int, i int, j int"), "states")
-    solved = parts.join(states, ["row", "k"]).mapInPandas(lean(_backtrace(held, ids)), "row long, doc_id long, k int, n long, b long, h long, same boolean, ids array<int>")
+    solved = parts.join(states, ["row", "k"]).mapInArrow(lean(_backtrace(held, ids)), "row long, doc_id long, k int, n long, b long, h long, same boolean, ids array<int>")
     whole = solved.groupBy("row").applyInPandas(_join(ids), "row long, " + _OUT + ", ids array<int>" * ids).drop("row")
     return scratch.save(short.unionByName(whole), "encoded")
 

@@ -254,6 +254,22 @@ def test_a_unit_that_is_a_piece_takes_one_test(vocabulary):
     assert len(vocabulary.fits) == 1
 
 
+def test_chunks_are_sent_on_a_few_at_once(vocabulary, library):
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    text = "a thing, é日 and thethingthe " * 300
+    held = SimpleNamespace(value=vocabulary)
+    parts = pd.concat(sentpiece._cut(vocabulary.longest, 96)([pd.DataFrame({"row": [7], "doc_id": [5], "text": [text]})]))
+    parts = parts.merge(sentpiece._scan(pd.concat(sentpiece._matrices(held)([parts]))), on=["row", "k"])
+    out = list(sentpiece._backtrace(held, True)([pa.RecordBatch.from_pandas(parts)]))
+    assert len(parts) > 50 and max(map(len, out)) <= 16
+    whole = sentpiece._join(True)(pd.concat([x.to_pandas() for x in out]))
+    assert list(whole["ids"][0]) == library.encode(text) and whole["doc_id"][0] == 5 and whole["round_trip"][0]
+
+
 def test_pipeline_stages_keep_columns(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash_near_dedup", "source_mixing", "piece_encoding"]
